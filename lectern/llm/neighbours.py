@@ -27,27 +27,54 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cluster import materialize
+from ..functions.cluster import join_side, materialize
 
 BLOCK = 16
 EPSILON = 2.1
 LIST_ROWS = 300
 MAX_LISTS = 4096
 FIT_SAMPLE = 30_000
-PROBES = 8
+PROBES = 5
 PART = 2048
 GROUP = 4096
 SEED = 7
+#: What half precision may move a cosine by, with room to spare.
+SLACK = 5e-4
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
-    """``id, v``: one row for each id with a usable vector, scaled to length 1 in doubles and packed as floats' array."""
+    """``id, v`` of the rows with a usable vector, as delivered."""
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) == dim)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(F.col(id_col).isNotNull() & sound).filter(finite & some)
-    return rows.groupBy(F.col(id_col).alias("id")).agg(F.min(v).alias("v"))
+    return vectors.filter(F.col(id_col).isNotNull() & sound).filter(finite & some).select(F.col(id_col).alias("id"), v.alias("v"))
+
+
+def _fingerprint():
+    """Two hashes that stand for a vector where equal ones are brought together; the vectors themselves stay put."""
+    return F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(SEED), "v").alias("b"))
+
+
+def vector_classes(vectors: DataFrame, k: int, id_col: str, vector_col: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal vectors, ``cid, print, members, v`` with the k + 1 smallest ids of each, and all members,
+    ``id, print``, of the classes that have several.  Of an id with several vectors the one with the smallest print counts.
+
+    Only prints and ids are shuffled; the vectors of classes with one row are not."""
+    rows = usable_vectors(vectors, id_col, vector_col, dim).withColumn("print", _fingerprint())
+    seen = rows.groupBy("id").agg(F.min("print").alias("print"), F.count("*").alias("n"))
+    kept = materialize(seen)
+    shared = kept.groupBy("print").agg(F.count("*").alias("ids"), F.sum("n").alias("rows"))
+    several = join_side(shared.filter("rows > 1").select("print", "ids"))
+    disputed = join_side(rows.groupBy("id").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low != high").select("id", "low"))
+    rows = rows.join(disputed, "id", "left").filter(F.col("low").isNull() | (F.col("low") == F.col("print"))).drop("low")
+    alone = rows.join(several, "print", "left_anti").select("print", F.array("id").alias("members"), "v")
+    members = kept.join(several.filter("ids > 1"), "print", "left_semi").select("id", "print")
+    by_print = Window.partitionBy("print").orderBy("id")
+    heads = kept.join(several, "print", "left_semi").select("id", "print").withColumn("nth", F.row_number().over(by_print)).filter(F.col("nth") <= k + 1)
+    heads = heads.groupBy("print").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    first = rows.join(several, "print", "left_semi").select("print", "v").dropDuplicates(["print"])
+    return alone.unionByName(first.join(heads, "print").select("print", "members", "v")), members
 
 
 def _rotation(dim: int) -> np.ndarray:
@@ -115,7 +142,7 @@ def adaptive_scan(base: np.ndarray, base_ids: np.ndarray, query: np.ndarray, que
         other = base_ids[bi] != ids[qi]
         qi, bi = qi[other], bi[other]
         cosine = np.einsum("ij,ij->i", query[at + qi], base[bi])
-        good = cosine >= bound[at + qi] - 1e-12
+        good = cosine >= bound[at + qi] - 1e-6
         qi, bi, cosine = qi[good] + at, bi[good], np.clip(cosine[good], -1.0, 1.0)
         order = np.lexsort((base_ids[bi], -cosine, qi))
         qi, bi, cosine = qi[order], bi[order], cosine[order]
@@ -126,116 +153,125 @@ def adaptive_scan(base: np.ndarray, base_ids: np.ndarray, query: np.ndarray, que
 
 
 def _pack(m: np.ndarray) -> list[bytes]:
-    return [r.tobytes() for r in np.ascontiguousarray(m)]
+    return [r.tobytes() for r in np.ascontiguousarray(m.astype(np.float16))]
 
 
 def _unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+    """Rows of half-precision components as unit vectors in doubles."""
+    m = np.frombuffer(b"".join(column), dtype=np.float16).reshape(len(column), -1).astype(np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
 
+def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "vector", dim: int = 64, probes: int = PROBES,
+            least: float | None = None) -> DataFrame:
+    """``id, neighbour, cosine, place``: the k most similar others of every usable vector, by the operator above.
 
-def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "vector", dim: int = 64, probes: int = PROBES) -> DataFrame:
-    """``id, neighbour, cosine, place``: the k most similar others of every usable vector, by the operator above."""
+    ``least`` leaves out what is less similar, after the k of each vector are known.  Vectors travel in half precision,
+    which moves a cosine by some hundred-thousandths; :func:`close_pairs` decides its bound on the vectors as given."""
     spark = vectors.sparkSession
-    ids = materialize(usable_vectors(vectors, id_col, vector_col, dim).orderBy("id").withColumn("uid", F.monotonically_increasing_id()))
-    # equal vectors form one class, led by its smallest uid; its k + 1 smallest members are all that any list can need
-    by_vector = Window.partitionBy("v").orderBy("uid")
-    heads = ids.select("uid", "v").withColumn("nth", F.row_number().over(by_vector)).filter(F.col("nth") <= k + 1)
-    classes = heads.groupBy("v").agg(F.min("uid").alias("rep"), F.array_sort(F.collect_list("uid")).alias("members"))
+    plain, members = vector_classes(vectors, k, id_col, vector_col, dim)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "u": _pack(_unit(b["v"]))})
+                yield pd.DataFrame({"a": b["a"], "b": b["b"], "members": b["members"], "u": _pack(_unit(b["v"]))})
 
-    classes = materialize(classes.mapInPandas(pack, "rep bigint, members array<bigint>, u binary"))
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    packed = plain.select("print.a", "print.b", "members", "v").mapInPandas(pack, f"a bigint, b bigint, members array<{id_type}>, u binary")
+    classes = materialize(packed.withColumn("cid", F.monotonically_increasing_id()))
     total = classes.count()
     share = min(1.0, FIT_SAMPLE / max(total, 1))
-    sample = classes.select("u").sample(share, SEED).limit(FIT_SAMPLE).toPandas() if share < 1 else classes.select("u").toPandas()
-    centroids = spark.sparkContext.broadcast(fit_centroids(_unpack(sample["u"]), min(MAX_LISTS, -(-total // LIST_ROWS))) if len(sample) else np.zeros((1, dim), dtype=np.float32))
+    sample = (classes.select("u").sample(share, SEED).limit(FIT_SAMPLE) if share < 1 else classes.select("u")).toPandas()
+    fitted = fit_centroids(_unpack(sample["u"]), min(MAX_LISTS, -(-total // LIST_ROWS))) if len(sample) else np.zeros((1, dim), dtype=np.float32)
+    centroids = spark.sparkContext.broadcast(fitted)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = centroids.value
-        n = min(probes, len(c))
         for b in batches:
-            if not len(b):
-                continue
-            u = _unpack(b["u"]).astype(np.float32)
-            near = u @ c.T
-            some = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            some = np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1), axis=1)
-            yield pd.DataFrame({"rep": b["rep"], "u": b["u"], "own": some[:, 0].astype(np.int32), "probed": list(some.astype(np.int32))})
-
-    listed = materialize(classes.select("rep", "u").mapInPandas(assign, "rep bigint, u binary, own int, probed array<int>"))
-    # at most MAX_LISTS rows
-    parts = F.broadcast(listed.groupBy("own").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
-    placed = listed.join(parts, "own").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+            if len(b):
+                near = _unpack(b["u"]).astype(np.float32) @ centroids.value.T
+                yield pd.DataFrame({"cid": b["cid"], "u": b["u"], "own": near.argmax(axis=1).astype(np.int32)})
+
+    listed = classes.select("cid", "u").mapInPandas(assign, "cid bigint, u binary, own int")
+    # a row for each list, at most MAX_LISTS
+    counts = listed.groupBy("own").agg(F.count("*").alias("n")).toPandas()
+    parts_of = np.zeros(len(fitted), dtype=np.int64)
+    parts_of[counts["own"]] = -(-counts["n"].to_numpy() // PART)
+    parts = spark.sparkContext.broadcast(parts_of)
+    sizes = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts_of)], "own int, parts int"))
+    placed = listed.select("cid", "u", "own").join(sizes, "own").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("own", "part", "cid", "u")
 
     def own_part(b: pd.DataFrame) -> pd.DataFrame:
-        u, uid = _unpack(b["u"]), b["rep"].to_numpy()
-        q, hit, cosine = adaptive_scan(u, uid, u, uid, np.full(len(b), -np.inf), k)
+        u, cid = _unpack(b["u"]), b["cid"].to_numpy()
+        q, hit, cosine = adaptive_scan(u, cid, u, cid, np.full(len(b), -np.inf), k)
         cuts = np.searchsorted(q, np.arange(len(b) + 1))
         full = cuts[1:] - cuts[:-1] >= k
-        bound = np.where(full, cosine[np.maximum(cuts[1:] - 1, 0)] if len(cosine) else 0.0, -np.inf)
+        bound = np.where(full, cosine[np.maximum(cuts[1:] - 1, 0)] if len(cosine) else 0.0, -1.0)
+        near = u.astype(np.float32) @ centroids.value.T
+        n = min(probes, near.shape[1])
+        some = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        own, part = int(b["own"].iloc[0]), int(b["part"].iloc[0])
+        asked = [[int(l) * 65536 + p for l in row for p in range(parts.value[l]) if l != own or p != part] for row in some]
         return pd.DataFrame(
             {
-                "rep": uid, "u": b["u"], "own": b["own"], "part": b["part"], "probed": b["probed"], "bound": bound,
-                "hits": [hit[s:e] for s, e in zip(cuts[:-1], cuts[1:])], "cosines": [cosine[s:e] for s, e in zip(cuts[:-1], cuts[1:])],
+                "cid": cid, "u": b["u"], "bound": bound.astype(np.float32), "asked": asked,
+                "hits": [hit[s:e].astype(np.int64) for s, e in zip(cuts[:-1], cuts[1:])], "cosines": [cosine[s:e].astype(np.float32) for s, e in zip(cuts[:-1], cuts[1:])],
             }
         )
 
-    schema = "rep bigint, u binary, own int, part int, probed array<int>, bound double, hits array<bigint>, cosines array<double>"
-    first = materialize(placed.select("own", "part", "rep", "u", "probed").groupBy("own", "part").applyInPandas(own_part, schema))
-    base = first.select("own", "part", "rep", "u")
-    asks = (
-        first.select("rep", "u", "bound", F.col("own").alias("home"), F.col("part").alias("home_part"), F.explode("probed").alias("own"))
-        .join(parts, "own")
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        .filter((F.col("own") != F.col("home")) | (F.col("part") != F.col("home_part")))
-        .select("own", "part", "rep", "u", "bound")
-    )
-    groups = F.broadcast(asks.groupBy("own", "part").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
-    asks = asks.join(groups, ["own", "part"]).withColumn("grp", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
-    base = base.join(groups, ["own", "part"]).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    both = base.select("own", "part", "grp", "rep", "u", F.lit(None).cast("double").alias("bound"), F.lit(True).alias("is_base")).unionByName(
-        asks.select("own", "part", "grp", "rep", "u", "bound", F.lit(False).alias("is_base"))
+    schema = "cid bigint, u binary, bound float, asked array<bigint>, hits array<bigint>, cosines array<float>"
+    first = materialize(placed.groupBy("own", "part").applyInPandas(own_part, schema))
+    asks = first.select("cid", "u", "bound", F.explode("asked").alias("at")).select(
+        (F.col("at") / 65536).cast("int").alias("own"), F.pmod("at", F.lit(65536)).cast("int").alias("part"), "cid", "u", "bound"
     )
+    wanted = first.select(F.explode("asked").alias("at")).groupBy("at").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    # a row for each part of a list
+    groups = join_side(wanted.select((F.col("at") / 65536).cast("int").alias("own"), F.pmod("at", F.lit(65536)).cast("int").alias("part"), "groups"))
+    asks = asks.join(groups, ["own", "part"]).withColumn("grp", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int")).drop("groups")
+    base = placed.join(groups, ["own", "part"]).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    both = base.withColumn("bound", F.lit(None).cast("float")).unionByName(asks)
 
     def other_parts(b: pd.DataFrame) -> pd.DataFrame:
-        is_base = b["is_base"].to_numpy()
+        is_base = b["bound"].isna().to_numpy()
         base, ask = b[is_base], b[~is_base]
-        if not len(base) or not len(ask):
-            return pd.DataFrame({"rep": np.array([], dtype=np.int64), "hit": np.array([], dtype=np.int64), "cosine": np.array([], dtype=np.float64)})
-        q, hit, cosine = adaptive_scan(_unpack(base["u"]), base["rep"].to_numpy(), _unpack(ask["u"]), ask["rep"].to_numpy(), ask["bound"].to_numpy(), k)
-        return pd.DataFrame({"rep": ask["rep"].to_numpy()[q.astype(np.int64)], "hit": hit.astype(np.int64), "cosine": cosine})
-
-    more = both.groupBy("own", "part", "grp").applyInPandas(other_parts, "rep bigint, hit bigint, cosine double")
-    # exploding two arrays of one length as pairs
-    pairs = F.explode(F.arrays_zip(F.col("hits").alias("hit"), F.col("cosines").alias("cosine")))
-    hits = first.select("rep", pairs.alias("p")).select("rep", "p.hit", "p.cosine").unionByName(more)
-    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "hit")
-    hits = hits.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).drop("nth")
+        none = np.array([], dtype=np.int64)
+        q, hit, cosine = none, none, np.array([])
+        if len(base) and len(ask):
+            q, hit, cosine = adaptive_scan(_unpack(base["u"]), base["cid"].to_numpy(), _unpack(ask["u"]), ask["cid"].to_numpy(), ask["bound"].to_numpy().astype(np.float64), k)
+        return pd.DataFrame({"cid": ask["cid"].to_numpy()[q.astype(np.int64)], "hit": hit.astype(np.int64), "cosine": cosine.astype(np.float32)})
+
+    more = both.groupBy("own", "part", "grp").applyInPandas(other_parts, "cid bigint, hit bigint, cosine float")
+    near_enough = F.lit(True) if least is None else F.col("cosine") >= least - SLACK
+    pair = F.struct((-F.col("cosine")).alias("minus"), F.col("hit").alias("hit"))
+    lists_ = first.select("cid", F.arrays_zip(F.transform("cosines", lambda c: -c).alias("minus"), F.col("hits").alias("hit")).alias("found"))
+    added = more.groupBy("cid").agg(F.collect_list(pair).alias("found"))
+    merged = lists_.unionByName(added).groupBy("cid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    hits = merged.select("cid", F.explode("found").alias("f")).select("cid", "f.hit", (-F.col("f.minus")).cast("double").alias("cosine")).filter(near_enough)
     # from classes to members: a class's own members come first, at cosine 1
-    members = classes.select(F.col("rep").alias("hit"), F.col("members").alias("hit_members"))
-    spread = hits.join(members, "hit").select("rep", F.explode("hit_members").alias("to"), "cosine")
-    own = classes.filter(F.size("members") > 1).select("rep", F.explode("members").alias("to"), F.lit(1.0).alias("cosine"))
-    ranked = Window.partitionBy("rep").orderBy(F.desc("cosine"), "to")
-    lists = spread.unionByName(own).withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k + 1)
-    leader = ids.join(classes.filter(F.size("members") > 1).select("rep", F.explode("members").alias("uid")), "uid", "left_semi").groupBy("v").agg(F.min("uid").alias("rep"))
-    follower = ids.join(leader, "v").select("uid", "rep").filter(F.col("uid") != F.col("rep"))
-    everyone = classes.select(F.col("rep").alias("uid"), "rep").unionByName(follower)
-    final = Window.partitionBy("uid").orderBy("nth")
-    out = everyone.join(lists, "rep").filter(F.col("to") != F.col("uid")).withColumn("place", F.row_number().over(final)).filter(F.col("place") <= k)
-    names = ids.select("uid", "id")
-    return (
-        out.select("uid", "to", "cosine", "place")
-        .join(names, "uid")
-        .drop("uid")
-        .join(names.select(F.col("uid").alias("to"), F.col("id").alias("neighbour")), "to")
-        .select("id", "neighbour", "cosine", "place")
-    )
-
-
-def close_pairs(neighbours: DataFrame, least: float = 0.9) -> DataFrame:
-    """``chunk_a, chunk_b``: neighbours at ``least`` or closer, each pair once, smaller id first."""
-    near = neighbours.filter(F.col("cosine") >= least)
-    return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
+    of_hit = classes.select(F.col("cid").alias("hit"), F.col("members").alias("to"))
+    spread = hits.join(of_hit, "hit").select("cid", F.explode("to").alias("to"), "cosine")
+    own = classes.filter(F.size("members") > 1).select("cid", F.explode("members").alias("to"), F.lit(1.0).alias("cosine"))
+    ranked = Window.partitionBy("cid").orderBy(F.desc("cosine"), "to")
+    lists_ = spread.unionByName(own).withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k + 1)
+    singles = classes.filter(F.size("members") == 1).select(F.element_at("members", 1).alias("id"), "cid")
+    twins = members.select("id", "print.a", "print.b").join(classes.filter(F.size("members") > 1).select("a", "b", "cid"), ["a", "b"]).select("id", "cid")
+    final = Window.partitionBy("id").orderBy("nth")
+    out = singles.unionByName(twins).join(lists_, "cid").filter(F.col("to") != F.col("id")).withColumn("place", F.row_number().over(final))
+    return out.filter(F.col("place") <= k).select("id", F.col("to").alias("neighbour"), "cosine", "place")
+
+
+def close_pairs(vectors: DataFrame, k: int, least: float = 0.9, id_col: str = "chunk_id", vector_col: str = "vector", dim: int = 64, probes: int = PROBES) -> DataFrame:
+    """``chunk_a, chunk_b``: pairs of which one is among the k nearest of the other and the cosine is at least ``least``,
+    each once, smaller id first.  The cosine that decides is of the vectors as given, in doubles."""
+    near = nearest(vectors, k, id_col, vector_col, dim, probes, least)
+    pairs = materialize(near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b"), "cosine").distinct())
+    sure = pairs.filter(F.col("cosine") >= least + SLACK).select("chunk_a", "chunk_b")
+    unsure = pairs.filter((F.col("cosine") < least + SLACK)).select("chunk_a", "chunk_b")
+    asked = join_side(unsure.select(F.explode(F.array("chunk_a", "chunk_b")).alias("id")).distinct())
+    rows = usable_vectors(vectors, id_col, vector_col, dim).join(asked, "id", "left_semi").withColumn("print", _fingerprint())
+    # as in vector_classes, the vector of the smallest print stands for an id
+    given = materialize(rows.groupBy("id").agg(F.min(F.struct("print", "v")).alias("s")).select("id", F.transform("s.v", lambda x: x.cast("double")).alias("v")))
+    one, two = given.select(F.col("id").alias("chunk_a"), F.col("v").alias("x")), given.select(F.col("id").alias("chunk_b"), F.col("v").alias("y"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    product = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    judged = unsure.join(one, "chunk_a").join(two, "chunk_b").filter(product("x", "y") >= least * F.sqrt(product("x", "x")) * F.sqrt(product("y", "y")))
+    return sure.unionByName(judged.select("chunk_a", "chunk_b")).distinct()

@@ -26,17 +26,15 @@ def p1_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_site_lines(table(spark, sf_dir, "parsed_documents"))
 
 
-def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = settings(spark, sf_dir)
-    return neighbours.nearest(table(spark, sf_dir, "vectors"), int(s["retrieval.k"]), dim=int(s["embedding.dimensions"]))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.close_pairs(_nearest(spark, sf_dir))
+    s = settings(spark, sf_dir)
+    return neighbours.close_pairs(table(spark, sf_dir, "vectors"), int(s["retrieval.k"]), dim=int(s["embedding.dimensions"]))
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir).select(F.col("id").alias("chunk_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "place")
+    s = settings(spark, sf_dir)
+    lists = neighbours.nearest(table(spark, sf_dir, "vectors"), int(s["retrieval.k"]), dim=int(s["embedding.dimensions"]))
+    return lists.select(F.col("id").alias("chunk_id"), "neighbour", F.round("cosine", 4).alias("cosine"), "place")
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
