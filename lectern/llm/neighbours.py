@@ -31,10 +31,11 @@ from ..functions.cluster import join_side, materialize
 
 BLOCK = 16
 EPSILON = 2.1
+SPARSE = 0.03
 LIST_ROWS = 300
 MAX_LISTS = 4096
 FIT_SAMPLE = 30_000
-PROBES = 5
+PROBES = 4
 PART = 2048
 GROUP = 4096
 SEED = 7
@@ -111,33 +112,47 @@ def adaptive_scan(base: np.ndarray, base_ids: np.ndarray, query: np.ndarray, que
     turn = _rotation(dim)
     rb, rq = (base @ turn).astype(np.float32), (query @ turn).astype(np.float32)
     columns = [np.ascontiguousarray(rb[:, i : i + BLOCK]) for i in range(0, dim, BLOCK)]
-    lengths = (columns[0] ** 2).sum(axis=1)
-    limit = lambda d: min(1.0, d / dim) * (1 + EPSILON / np.sqrt(d)) ** 2
+    lengths = [(c * c).sum(axis=1) for c in columns]
+    limit = lambda d: np.float32(min(1.0, d / dim) * (1 + (EPSILON / np.sqrt(d) if d < dim else 0.0)) ** 2)
     outs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(16, 1_000_000 // max(1, len(base)))
     for at in range(0, len(query), step):
         q, ids = rq[at : at + step], query_ids[at : at + step]
-        first = q[:, :BLOCK]
-        partial = np.maximum(lengths[None, :] + (first**2).sum(axis=1)[:, None] - 2 * first @ columns[0].T, 0)
-        tau = np.maximum(2 - 2 * bound[at : at + step], 0).astype(np.float32) + 1e-5
+        tau = np.maximum(2 - 2 * bound[at : at + step], 0).astype(np.float32) + np.float32(1e-4)
+
+        def block_distances(n: int) -> np.ndarray:
+            part = q[:, n * BLOCK : (n + 1) * BLOCK]
+            out = part @ (-2 * columns[n].T)
+            out += (part * part).sum(axis=1)[:, None]
+            out += lengths[n]
+            return out
+
+        n, last = 1, len(columns)
+        partial = block_distances(0)
         open_ = np.flatnonzero(~np.isfinite(tau))
         if len(open_):  # no bound yet: the k-th distance among the candidates that look best so far
-            look = min(4 * k + 1, len(base))
-            near = np.argpartition(partial[open_], look - 1, axis=1)[:, :look] if look < len(base) else np.broadcast_to(np.arange(len(base)), (len(open_), len(base)))
-            full = 2 - 2 * np.einsum("qcd,qd->qc", rb[near], q[open_])
+            look = min(3 * k + 1, len(base))
+            while n < (last + 1) // 2 and look < len(base):
+                partial += block_distances(n)
+                n += 1
+            near = np.argpartition(partial[open_], look - 1, axis=1)[:, :look]
+            full = 2 - 2 * np.matmul(rb[near], q[open_][:, :, None])[:, :, 0]
             full[base_ids[near] == ids[open_][:, None]] = np.inf
             if look > k:
-                tau[open_] = np.partition(full, k - 1, axis=1)[:, k - 1] + 1e-5
-        alive = partial <= tau[:, None] * limit(BLOCK)
+                tau[open_] = np.partition(full, k - 1, axis=1)[:, k - 1] + np.float32(1e-4)
+        alive = partial <= (tau * limit(min(n * BLOCK, dim)))[:, None]
+        # while many candidates live, whole column blocks are added; then only those of the living
+        while n < last and np.count_nonzero(alive) > SPARSE * alive.size:
+            partial += block_distances(n)
+            n += 1
+            alive &= partial <= (tau * limit(min(n * BLOCK, dim)))[:, None]
         qi, bi = np.nonzero(alive)
         d2 = partial[qi, bi]
-        for n, block in enumerate(columns[1:], 1):
-            lo, hi = n * BLOCK, min((n + 1) * BLOCK, dim)
-            for s in range(0, len(qi), 500_000):
-                e = s + 500_000
-                diff = q[qi[s:e], lo:hi] - block[bi[s:e]]
-                d2[s:e] += np.einsum("ij,ij->i", diff, diff)
-            keep = d2 <= tau[qi] * (limit(hi) if hi < dim else 1.0) + 1e-5
+        while n < last:
+            diff = q[qi, n * BLOCK : (n + 1) * BLOCK] - columns[n][bi]
+            d2 += np.einsum("ij,ij->i", diff, diff)
+            n += 1
+            keep = d2 <= tau[qi] * limit(min(n * BLOCK, dim))
             qi, bi, d2 = qi[keep], bi[keep], d2[keep]
         other = base_ids[bi] != ids[qi]
         qi, bi = qi[other], bi[other]
@@ -210,7 +225,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: st
         n = min(probes, near.shape[1])
         some = np.argpartition(-near, n - 1, axis=1)[:, :n]
         own, part = int(b["own"].iloc[0]), int(b["part"].iloc[0])
-        asked = [[int(l) * 65536 + p for l in row for p in range(parts.value[l]) if l != own or p != part] for row in some]
+        asked = [[int(l) + MAX_LISTS * p for l in row for p in range(parts.value[l]) if l != own or p != part] for row in some]
         return pd.DataFrame(
             {
                 "cid": cid, "u": b["u"], "bound": bound.astype(np.float32), "asked": asked,
@@ -218,14 +233,15 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: st
             }
         )
 
-    schema = "cid bigint, u binary, bound float, asked array<bigint>, hits array<bigint>, cosines array<float>"
+    schema = "cid bigint, u binary, bound float, asked array<int>, hits array<bigint>, cosines array<float>"
     first = materialize(placed.groupBy("own", "part").applyInPandas(own_part, schema))
+    place = F.pmod("at", F.lit(MAX_LISTS)).cast("int").alias("own"), F.floor(F.col("at") / MAX_LISTS).cast("int").alias("part")
     asks = first.select("cid", "u", "bound", F.explode("asked").alias("at")).select(
-        (F.col("at") / 65536).cast("int").alias("own"), F.pmod("at", F.lit(65536)).cast("int").alias("part"), "cid", "u", "bound"
+        *place, "cid", "u", "bound"
     )
     wanted = first.select(F.explode("asked").alias("at")).groupBy("at").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     # a row for each part of a list
-    groups = join_side(wanted.select((F.col("at") / 65536).cast("int").alias("own"), F.pmod("at", F.lit(65536)).cast("int").alias("part"), "groups"))
+    groups = join_side(wanted.select(*place, "groups"))
     asks = asks.join(groups, ["own", "part"]).withColumn("grp", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int")).drop("groups")
     base = placed.join(groups, ["own", "part"]).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     both = base.withColumn("bound", F.lit(None).cast("float")).unionByName(asks)
@@ -233,18 +249,23 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: st
     def other_parts(b: pd.DataFrame) -> pd.DataFrame:
         is_base = b["bound"].isna().to_numpy()
         base, ask = b[is_base], b[~is_base]
-        none = np.array([], dtype=np.int64)
-        q, hit, cosine = none, none, np.array([])
-        if len(base) and len(ask):
-            q, hit, cosine = adaptive_scan(_unpack(base["u"]), base["cid"].to_numpy(), _unpack(ask["u"]), ask["cid"].to_numpy(), ask["bound"].to_numpy().astype(np.float64), k)
-        return pd.DataFrame({"cid": ask["cid"].to_numpy()[q.astype(np.int64)], "hit": hit.astype(np.int64), "cosine": cosine.astype(np.float32)})
+        if not len(base) or not len(ask):
+            return pd.DataFrame({"cid": np.array([], dtype=np.int64), "hits": [], "cosines": []})
+        q, hit, cosine = adaptive_scan(_unpack(base["u"]), base["cid"].to_numpy(), _unpack(ask["u"]), ask["cid"].to_numpy(), ask["bound"].to_numpy().astype(np.float64), k)
+        heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.array([], dtype=np.int64)
+        ends = np.append(heads[1:], len(q))
+        return pd.DataFrame(
+            {
+                "cid": ask["cid"].to_numpy()[q[heads].astype(np.int64)],
+                "hits": [hit[s:e].astype(np.int64) for s, e in zip(heads, ends)], "cosines": [cosine[s:e].astype(np.float32) for s, e in zip(heads, ends)],
+            }
+        )
 
-    more = both.groupBy("own", "part", "grp").applyInPandas(other_parts, "cid bigint, hit bigint, cosine float")
+    more = both.groupBy("own", "part", "grp").applyInPandas(other_parts, "cid bigint, hits array<bigint>, cosines array<float>")
     near_enough = F.lit(True) if least is None else F.col("cosine") >= least - SLACK
-    pair = F.struct((-F.col("cosine")).alias("minus"), F.col("hit").alias("hit"))
-    lists_ = first.select("cid", F.arrays_zip(F.transform("cosines", lambda c: -c).alias("minus"), F.col("hits").alias("hit")).alias("found"))
-    added = more.groupBy("cid").agg(F.collect_list(pair).alias("found"))
-    merged = lists_.unionByName(added).groupBy("cid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    found = first.select("cid", "hits", "cosines").unionByName(more)
+    found = found.select("cid", F.arrays_zip(F.transform("cosines", lambda c: -c).alias("minus"), F.col("hits").alias("hit")).alias("found"))
+    merged = found.groupBy("cid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
     hits = merged.select("cid", F.explode("found").alias("f")).select("cid", "f.hit", (-F.col("f.minus")).cast("double").alias("cosine")).filter(near_enough)
     # from classes to members: a class's own members come first, at cosine 1
     of_hit = classes.select(F.col("cid").alias("hit"), F.col("members").alias("to"))
