@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.cluster import materialize, utf16_units
 
 EDGE = 3
 MIN_NUMBERED, MIN_REPEATED = 2, 3
@@ -23,7 +24,7 @@ _SPACE = r"[ \t   -   　]+"
 
 
 def clean_unicode(column):
-    """Line ends, blank lines, invisible characters, ligatures, spaces and separate accents of one page's text."""
+    """Line ends, blank lines, invisible characters, ligatures and spaces of one page's text."""
     c = F.regexp_replace(column, r"\r\n?", "\n")
     c = F.regexp_replace(F.regexp_replace(c, r"^\n+|\n+$", ""), r"\n{3,}", "\n\n")
     c = F.regexp_replace(c, "­(?=\n)", "-")
@@ -32,12 +33,14 @@ def clean_unicode(column):
     for glyph, letters in LIGATURES.items():
         c = F.replace(c, F.lit(glyph), F.lit(letters))
     c = F.regexp_replace(F.regexp_replace(c, _SPACE + r"(?=\n|$)", ""), _SPACE, " ")
-    # composing has no built-in; only texts with combining marks go through Python
-    return F.when(F.rlike(c, F.lit(r"\p{L}\p{M}")), X.compose(c, F.lit("NFC"))).otherwise(c)
+    return c
 
 
 def unicode_cleaner(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("text", clean_unicode(F.col("text")))
+    """Composing accents has no built-in: only texts with combining marks are handed to Python, the others as nulls."""
+    cleaned = pages.withColumn("text", clean_unicode(F.col("text")))
+    apart = F.when(F.rlike("text", F.lit(r"\p{L}\p{M}")), F.col("text"))
+    return cleaned.withColumn("text", F.coalesce(X.compose(apart, F.lit("NFC")), F.col("text")))
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
@@ -115,13 +118,13 @@ def clean(pages: DataFrame, names: list[str]) -> DataFrame:
     unknown = [n for n in names if n not in CLEANERS]
     if unknown:
         raise ValueError(f"unknown cleaners: {', '.join(unknown)}")
-    return reduce(lambda df, n: CLEANERS[n](df), names, pages)
+    # cleaners that look at edge lines read their pages twice: what came before is computed once
+    twice = {"page-numbers", "headers-footers"}
+    return reduce(lambda df, n: CLEANERS[n](materialize(df) if n in twice else df), names, pages)
 
 
 def assemble(pages: DataFrame) -> DataFrame:
     """Documents from pages, joined by a blank line, with the running span of each page: ``doc_id, page_no, char_start, char_end``."""
-    from ..functions.cluster import utf16_units
-
     before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     n = utf16_units(F.col("text"))
     start = F.coalesce(F.sum(n + 2).over(before), F.lit(0))
