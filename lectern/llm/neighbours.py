@@ -34,7 +34,7 @@ EPSILON = 2.1
 SPARSE = 0.03
 #: Rows of a list and lists probed, for whole lists of neighbours and for those above a bound, which lie close by.
 LIST_ROWS, PROBES = 1000, 14
-CLOSE_LIST_ROWS, CLOSE_PROBES = 300, 4
+CLOSE_LIST_ROWS, CLOSE_PROBES = 600, 4
 MAX_LISTS = 4096
 FIT_SAMPLE = 30_000
 PART = 2048
