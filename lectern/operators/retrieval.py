@@ -122,8 +122,10 @@ def delete(store: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame
 
 
 def hash_bucket_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, dim: int, tables: int = 12, bits: int = 5, seed: int = 42) -> DataFrame:
-    """Approximate search by sign hashing: a vector meets a query where they share a bucket of one of ``tables`` tables;
-    exact cosines rank what met.  Recall, not exact ids, is the contract."""
+    """Approximate search by sign hashing: a vector meets a query where, in one of ``tables`` tables, it lies in the query's bucket
+    or in one that differs from it by a single sign; exact cosines rank what met.  Recall, not exact ids, is the contract.
+
+    On vectors without clusters the neighbouring buckets are needed for recall, and most vectors meet most queries."""
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
     plane = lambda p: F.array(*[F.lit(float(x)) for x in p])
 
@@ -131,9 +133,12 @@ def hash_bucket_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: s
         code = lambda t: reduce(lambda a, b: a + b, [F.when(V.dot(v, plane(p)) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes[t])])
         return F.array(*[(F.lit(t << bits) + code(t)).cast("int") for t in range(tables)])
 
-    base = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v"), F.explode(buckets(F.col(vector_col))).alias("bucket"))
-    asks = queries.select("qid", "qv", F.explode(buckets(F.col("qv"))).alias("bucket"))
-    met = asks.join(base, "bucket").select("qid", "chunk_id", V.cosine(F.col("v"), F.col("qv")).alias("score"))
+    def probed(own):
+        return F.flatten(F.transform(own, lambda b: F.array(b, *[b.bitwiseXOR(F.lit(1 << i)) for i in range(bits)])))
+
+    base = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v"), V.norm(F.col(vector_col)).alias("nv"), F.explode(buckets(F.col(vector_col))).alias("bucket"))
+    asks = queries.select("qid", "qv", V.norm(F.col("qv")).alias("nq"), F.explode(probed(buckets(F.col("qv")))).alias("bucket"))
+    met = asks.join(base, "bucket").select("qid", "chunk_id", V.cosine(F.col("v"), F.col("qv"), F.col("nv"), F.col("nq")).alias("score"))
     return top_k(met.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), k, "ann")
 
 

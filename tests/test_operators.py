@@ -77,6 +77,15 @@ def test_hash_buckets_find_near_vectors(spark):
     assert len(exact & near) >= 0.95 * len(exact)
 
 
+def test_hash_buckets_hold_recall_without_clusters(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).standard_normal((500, 64)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    q = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    exact = {(r.qid, r.chunk_id) for r in retrieval.dense_search(df, q, 10, id_col="vec_id", vector_col="embedding").collect()}
+    near = {(r.qid, r.chunk_id) for r in retrieval.hash_bucket_search(df, q, 10, "vec_id", "embedding", 64).collect()}
+    assert len(near) == len(exact) == 100 and len(exact & near) >= 95
+
+
 def test_rerank_keeps_order_where_a_score_is_missing(spark):
     h = hits(spark, [("p", "a", 3.0, 1, "x"), ("p", "b", 2.0, 2, "x"), ("q", "a", 3.0, 1, "x"), ("q", "b", 2.0, 2, "x")])
     s = spark.createDataFrame([("p", "a", 1.0), ("p", "b", 5.0), ("q", "b", 5.0)], "qid string, chunk_id string, new_score double")
