@@ -1,10 +1,14 @@
 """Lines that a site puts on its documents (problem 1).
 
-Every line is parsed down token trees of fixed depth: source, number of words, then the first words and the last one, or
-from the other end, and the wording itself (its letters) as leaf.  Digits, marks, spaces and case take no part, so changing numbers and decorations
-are wildcards from the start; words that differ between the lines of one node become wildcard slots of its template.
-A document is one row, so each partition counts the documents of a node exactly in its partial aggregation and
-merging trees across partitions is adding counts.  Nodes that cover many documents of their source are site lines.
+For templates and clean texts every line is parsed down token trees of fixed depth: source, number of words, then the first words
+and the last one, or from the other end.  Words that differ between the lines of one node become wildcard slots of its template.
+Beside the trees, wordings (a line's letters) are counted by source.  Digits, marks, spaces and case take no part, so changing
+numbers and decorations are wildcards from the start.  A document is one row, so each partition counts the documents of a node or
+wording exactly in its partial aggregation and merging across partitions is adding counts.  Those that cover many documents of
+their source are site lines.
+
+:func:`found_lines` uses the wording counts only.  One wording may be parted into words in several ways, which lie under different
+nodes, so a wording can be a site line where no node on its way is one; candidates taken from the trees would lose it.
 
 Results for odd input: null texts have no lines; a null source is a source of its own; repeated lines of one document
 count once for coverage and are all found; documents delivered twice under different ids count twice; lines with fewer
@@ -38,7 +42,7 @@ def _letters(words):
 
 
 def _leaf(words):
-    """The leaf of a wording."""
+    """A wording as a number."""
     return F.xxhash64(_letters(words), F.length(_letters(words)))
 
 
@@ -59,16 +63,16 @@ def _long_enough(words):
     return F.length(_letters(words)) >= MIN_LETTERS
 
 
-def site_nodes(parsed: DataFrame) -> DataFrame:
-    """``source, kind, node, documents, of_documents``: leaves (``w``) and inner nodes (``n``) that cover at least
-    MIN_DOCUMENTS and MIN_SHARE of the non-scanned documents of their source."""
+def site_nodes(parsed: DataFrame, kinds: tuple[str, ...] = ("w", "n")) -> DataFrame:
+    """``source, kind, node, documents, of_documents``: wordings (``w``) and inner nodes (``n``) that cover at least
+    MIN_DOCUMENTS and MIN_SHARE of the non-scanned documents of their source.  Only ``kinds`` are computed."""
     docs = parsed.filter(~F.col("scanned")).select(_source(F.col("source")).alias("source"), "text")
     sizes = docs.groupBy("source").agg(F.count("*").alias("of_documents"))
     lines = docs.select("source", F.filter(F.transform(F.split("text", "\n"), _words), _long_enough).alias("lines"))
     leaves = F.transform(F.array_distinct(F.transform("lines", _leaf)), lambda h: F.struct(F.lit("w").alias("kind"), h.alias("node")))
     nodes = F.transform(F.array_distinct(F.flatten(F.transform("lines", _nodes))), lambda h: F.struct(F.lit("n").alias("kind"), h.alias("node")))
     counted = (
-        lines.select("source", F.explode(F.concat(leaves, nodes)).alias("at"))
+        lines.select("source", F.explode(F.concat(*[{"w": leaves, "n": nodes}[kind] for kind in kinds])).alias("at"))
         .groupBy("source", F.col("at.kind").alias("kind"), F.col("at.node").alias("node"))
         .agg(F.count("*").alias("documents"))
         .filter(F.col("documents") >= MIN_DOCUMENTS)
@@ -78,7 +82,7 @@ def site_nodes(parsed: DataFrame) -> DataFrame:
 
 def found_lines(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """``doc_id, page_no, line_no`` of every line whose wording is a site line of its document's source."""
-    leaves = materialize(site_nodes(parsed).filter(F.col("kind") == "w").select("source", "node"))
+    leaves = materialize(site_nodes(parsed, ("w",)).select("source", "node"))
     lines = (
         pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .select("doc_id", "page_no", "line_no", _words(F.col("line")).alias("words"))
@@ -94,7 +98,7 @@ def found_lines(pages: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def site_templates(parsed: DataFrame) -> DataFrame:
     """``source, template, documents, wordings, fixed``: the covering nodes, with ``<*>`` for words that differ."""
-    inner = site_nodes(parsed).filter(F.col("kind") == "n").select("source", "node", "documents")
+    inner = site_nodes(parsed, ("n",)).select("source", "node", "documents")
     side = join_side(inner)
     words = (
         parsed.filter(~F.col("scanned"))
@@ -128,7 +132,7 @@ def without_site_lines(parsed: DataFrame) -> DataFrame:
 
     Each source's nodes (few: a node covers a tenth of the documents) meet its documents as two arrays."""
     templates = site_templates(parsed).filter(F.col("fixed") >= MIN_FIXED).select("source", "node", F.lit("n").alias("kind"))
-    leaves = site_nodes(parsed).filter(F.col("kind") == "w").select("source", "node", "kind")
+    leaves = site_nodes(parsed, ("w",)).select("source", "node", "kind")
     marks = leaves.unionByName(templates).groupBy("source").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "w", F.col("node")))).alias("leaves"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "n", F.col("node")))).alias("nodes"),

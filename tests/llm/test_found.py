@@ -61,6 +61,15 @@ def test_site_templates_have_wildcards(spark):
     assert all("staff" not in r.text and r.removed == 1 for r in site_lines.without_site_lines(df).collect())
 
 
+def test_site_line_whose_words_are_parted_differently(spark):
+    ways = ["share this page", "sharethis page", "share thispage", "sharethispage"]
+    parsed = spark.createDataFrame([(f"d{i}", "s", None, False, w) for i, w in enumerate(ways)], PARSED)
+    pages = spark.createDataFrame([(f"d{i}", 1, w) for i, w in enumerate(ways)], PAGES)
+    assert site_lines.site_nodes(parsed, ("n",)).count() == 0
+    assert [(r.kind, r.documents) for r in site_lines.site_nodes(parsed, ("w",)).collect()] == [("w", 4)]
+    assert site_lines.found_lines(pages, parsed).count() == 4
+
+
 def test_site_lines_of_nothing(spark):
     none = spark.createDataFrame([], PARSED)
     assert site_lines.found_lines(spark.createDataFrame([], PAGES), none).count() == 0
