@@ -2,14 +2,15 @@
 
 Vector bin packing: every item has a size in tokens, a number of segments and a number of loss-bearing tokens, and a
 container bounds all three.  A container takes, among the items that fit, the one whose sizes have the largest dot
-product with the room left, both as shares of the capacities; large items open containers first.  An item larger than
-a container is cut into full containers and a rest, and only that rest shares one.
+product with the room left, both as shares of the capacities; large items open containers first.  An item over any of the
+three limits is cut, each piece as long as the limits allow, and a piece that leaves room may share its container.
 
 Items are dealt by a hash into packs of about PACK items, each packed by one task, so no task grows with the input.
 A pack leaves at most a container or two with much room, so the share of unused space does not depend on the number of
 packs.
 
-Results for odd input: items with a null or zero size are placed nowhere and give no rows; repeated ids are separate items of
+Results for odd input: items with a null or zero size are placed nowhere and give no rows; loss-bearing tokens or segments beyond
+an item's tokens count as many as the tokens, negative ones as none; repeated ids are separate items of
 one document and are told apart by an occurrence number; an empty table gives no rows; other columns are ignored.
 """
 
@@ -65,12 +66,27 @@ def pack_vectors(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     return out
 
 
+def cut_points(tokens: int, loss: int, segments: int, caps: np.ndarray) -> list[int]:
+    """Start of each piece of an item, each piece as long as the limits allow.
+
+    The loss-bearing tokens are the item's last ones.  Where segments end is not known: those of an item with more than a
+    container takes are dealt in proportion to the tokens."""
+    capacity, max_segments, max_loss = (int(c) for c in caps)
+    longest = min(capacity, tokens * max_segments // segments) if segments > max_segments else capacity
+    starts, at = [], 0
+    while at < tokens:
+        starts.append(at)
+        at = min(at + longest, max(at, tokens - loss) + max_loss)
+    return starts
+
+
 def pack_items(items: DataFrame, capacity: int, id_col: str = "doc_id", tokens_col: str = "tokens", loss_col: str | None = None,
                segments_col: str | None = None, max_segments: int = SEGMENTS, max_loss: int | None = None) -> DataFrame:
     """``container, doc_id, piece_no, pieces, start_token, tokens``: where each item, or piece of an oversized one, goes.
 
-    ``loss_col`` defaults to the tokens, ``segments_col`` to one segment an item, ``max_loss`` to the capacity.  A piece of
-    an oversized item bears loss in proportion to its tokens; its segments count in each piece."""
+    ``loss_col`` defaults to the tokens, ``segments_col`` to one segment an item, ``max_loss`` to the capacity.  An
+    item's loss-bearing tokens are taken to be its last ones, as an answer follows its question.  The segments of a cut item
+    count in each piece, unless they exceed ``max_segments``: then in proportion to its tokens, rounded up."""
     kind = items.schema[id_col].dataType.simpleString()
     narrow = items.select(
         F.col(id_col).alias("id"),
@@ -85,12 +101,18 @@ def pack_items(items: DataFrame, capacity: int, id_col: str = "doc_id", tokens_c
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         tokens, loss, segments = (b[c].to_numpy().astype(np.int64) for c in ("tokens", "loss", "segments"))
-        pieces = -(-tokens // capacity)
+        loss, segments = np.clip(loss, 0, tokens), np.clip(segments, 0, tokens)
+        over = (tokens > caps[0]) | (segments > caps[1]) | (loss > caps[2])
+        starts = [cut_points(int(t), int(l), int(g), caps) if o else [0] for t, l, g, o in zip(tokens, loss, segments, over)]
+        pieces = np.array([len(x) for x in starts], dtype=np.int64)
         row = np.repeat(np.arange(len(b)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = piece * capacity
-        size = np.minimum(capacity, tokens[row] - start)
-        sizes = np.stack([size, np.minimum(segments[row], caps[1]), np.minimum(-(-loss[row] * size // tokens[row]), caps[2])], axis=1)
+        start = np.concatenate([np.array(x, dtype=np.int64) for x in starts])
+        end = np.where(piece + 1 < pieces[row], np.append(start[1:], 0), tokens[row])
+        size = end - start
+        bears = np.maximum(0, end - np.maximum(start, tokens[row] - loss[row]))
+        parts = np.where(segments[row] > caps[1], -(-segments[row] * size // tokens[row]), segments[row])
+        sizes = np.stack([size, parts, bears], axis=1)
         box = pack_vectors(sizes, caps)
         pack = int(b["pack"].iloc[0])
         return pd.DataFrame(

@@ -263,6 +263,24 @@ def test_packing_bounds_and_waste(spark):
     assert packing.pack_items(df.limit(0), 1000).count() == 0
 
 
+def test_items_over_any_limit_are_cut(spark):
+    rows = [(1, 500, 450, 1), (2, 100, 10, 20), (3, 1060, 1000, 1), (4, 800, 400, 3), (5, 50, 50, 1), (6, 512, 384, 8), (7, 10, 900, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens bigint, loss bigint, segments bigint")
+    placed = packing.pack_items(df, 512, loss_col="loss", segments_col="segments", max_segments=8, max_loss=384).collect()
+    given = {r[0]: r[1:] for r in rows}
+    pieces, loss, segments = defaultdict(list), defaultdict(int), defaultdict(int)
+    for r in placed:
+        tokens, bears, parts = given[r.doc_id]
+        pieces[r.doc_id].append((r.piece_no, r.start_token, r.tokens, r.pieces))
+        loss[r.container] += max(0, r.start_token + r.tokens - max(r.start_token, tokens - min(bears, tokens)))
+        segments[r.container] += parts * r.tokens / tokens if parts > 8 else parts
+    assert {k: len(v) for k, v in pieces.items()} == {1: 2, 2: 3, 3: 3, 4: 2, 5: 1, 6: 1, 7: 1}
+    for k, v in pieces.items():
+        v.sort()
+        assert [x[1] for x in v] == [sum(y[2] for y in v[:i]) for i in range(len(v))] and sum(x[2] for x in v) == given[k][0] and {x[3] for x in v} == {len(v)}
+    assert max(loss.values()) <= 384 and max(segments.values()) <= 8
+
+
 # --- 7: mixing
 
 
