@@ -11,7 +11,7 @@ packs.
 
 Results for odd input: items with a null or zero size are placed nowhere and give no rows; loss-bearing tokens or segments beyond
 an item's tokens count as many as the tokens, negative ones as none; repeated ids are separate items of
-one document and are told apart by an occurrence number; an empty table gives no rows; other columns are ignored.
+one document and are told apart by ``occurrence``, from 1 by rising size (equal items are interchangeable); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PACK = 20_000
@@ -82,7 +82,7 @@ def cut_points(tokens: int, loss: int, segments: int, caps: np.ndarray) -> list[
 
 def pack_items(items: DataFrame, capacity: int, id_col: str = "doc_id", tokens_col: str = "tokens", loss_col: str | None = None,
                segments_col: str | None = None, max_segments: int = SEGMENTS, max_loss: int | None = None) -> DataFrame:
-    """``container, doc_id, piece_no, pieces, start_token, tokens``: where each item, or piece of an oversized one, goes.
+    """``container, doc_id, occurrence, piece_no, pieces, start_token, tokens``: where each item, or piece of an oversized one, goes.
 
     ``loss_col`` defaults to the tokens, ``segments_col`` to one segment an item, ``max_loss`` to the capacity.  An
     item's loss-bearing tokens are taken to be its last ones, as an answer follows its question.  The segments of a cut item
@@ -117,14 +117,15 @@ def pack_items(items: DataFrame, capacity: int, id_col: str = "doc_id", tokens_c
         pack = int(b["pack"].iloc[0])
         return pd.DataFrame(
             {
-                "container": [f"{pack}-{x}" for x in box], "id": b["id"].to_numpy()[row], "piece_no": piece.astype(np.int32),
+                "container": [f"{pack}-{x}" for x in box], "id": b["id"].to_numpy()[row], "occurrence": b["occurrence"].to_numpy()[row], "piece_no": piece.astype(np.int32),
                 "pieces": pieces[row].astype(np.int32), "start_token": start, "tokens": size,
             }
         )
 
-    dealt = narrow.withColumn("pack", F.pmod(F.xxhash64("id", "tokens"), F.lit(packs)).cast("int"))
+    same = Window.partitionBy("id").orderBy("tokens", "loss", "segments")
+    dealt = narrow.withColumn("occurrence", F.row_number().over(same)).withColumn("pack", F.pmod(F.xxhash64("id", "tokens"), F.lit(packs)).cast("int"))
     del spark
-    out = dealt.groupBy("pack").applyInPandas(run, f"container string, id {kind}, piece_no int, pieces int, start_token bigint, tokens bigint")
+    out = dealt.groupBy("pack").applyInPandas(run, f"container string, id {kind}, occurrence int, piece_no int, pieces int, start_token bigint, tokens bigint")
     return out.withColumnRenamed("id", id_col)
 
 

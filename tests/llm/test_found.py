@@ -281,6 +281,17 @@ def test_items_over_any_limit_are_cut(spark):
     assert max(loss.values()) <= 384 and max(segments.values()) <= 8
 
 
+def test_pieces_of_repeated_ids_are_told_apart(spark):
+    rows = [(1, 2500), (1, 2500), (1, 1700), (2, 2500), (3, 10)]
+    placed = packing.pack_items(spark.createDataFrame(rows, "doc_id bigint, tokens bigint"), 1000).collect()
+    items = defaultdict(list)
+    for r in placed:
+        items[r.doc_id, r.occurrence].append((r.piece_no, r.start_token, r.tokens, r.pieces))
+    long = [(0, 0, 1000, 3), (1, 1000, 1000, 3), (2, 2000, 500, 3)]
+    want = {(1, 1): [(0, 0, 1000, 2), (1, 1000, 700, 2)], (1, 2): long, (1, 3): long, (2, 1): long, (3, 1): [(0, 0, 10, 1)]}
+    assert {k: sorted(v) for k, v in items.items()} == want
+
+
 # --- 7: mixing
 
 
