@@ -3,7 +3,8 @@
 Inverted lists with an adaptive scan of dimensions.  Vectors are rotated at random, so that every block of coordinates
 holds a fair share of a distance; lists keep them in column blocks.  A list is scanned block by block: after each, the
 hypothesis that a candidate still belongs to the k nearest is tested on its partial distance, and candidates that fail
-are abandoned.  What survives all blocks is ranked by the exact cosine in double precision.
+are abandoned.  What survives all blocks is ranked by its cosine, which is summed in doubles over vectors held in half precision
+and compared in single precision.
 
 Each vector first scans the part of its own list that it lies in, which gives it a bound; the other probed lists are
 then scanned under that bound and send back only what beats it.  Lists are cut into parts of at most PART rows, and
@@ -14,7 +15,8 @@ Approximate: the centroids are fitted on at most FIT_SAMPLE vectors, every vecto
 scanned; recall against the exact lists is measured in the tests, and on the large tables in the README.
 
 Results for odd input: vectors that are null, of another length, all zero, or hold a null, NaN or infinite value have no
-neighbours and are nobody's neighbour; rows delivered twice count once; ties go to the smaller id; an empty table, or
+neighbours and are nobody's neighbour; rows delivered twice count once; ties of that cosine go to the smaller id (a class of
+equal vectors stands by its smallest), also where lists are cut at k; an empty table, or
 one with a single usable vector, gives no rows; other columns are ignored.
 """
 
@@ -106,9 +108,10 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray
     return c.astype(np.float32)
 
 
-def adaptive_scan(base: np.ndarray, base_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, k: int):
+def adaptive_scan(base: np.ndarray, base_ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, k: int, tie: np.ndarray | None = None):
     """For each query its k best rows of ``base`` with a cosine of at least ``bound``: arrays (query index, id, cosine),
-    ordered by query, falling cosine and rising id.  A query's own id is left out."""
+    ordered by query, falling cosine in single precision and rising ``tie``, by default the id.  A query's own id is left out."""
+    tie = base_ids if tie is None else tie
     dim = base.shape[1]
     turn = _rotation(dim)
     rb, rq = (base @ turn).astype(np.float32), (query @ turn).astype(np.float32)
@@ -159,8 +162,8 @@ def adaptive_scan(base: np.ndarray, base_ids: np.ndarray, query: np.ndarray, que
         qi, bi = qi[other], bi[other]
         cosine = np.einsum("ij,ij->i", query[at + qi], base[bi])
         good = cosine >= bound[at + qi] - 1e-6
-        qi, bi, cosine = qi[good] + at, bi[good], np.clip(cosine[good], -1.0, 1.0)
-        order = np.lexsort((base_ids[bi], -cosine, qi))
+        qi, bi, cosine = qi[good] + at, bi[good], np.clip(cosine[good], -1.0, 1.0).astype(np.float32)
+        order = np.lexsort((tie[bi], -cosine, qi))
         qi, bi, cosine = qi[order], bi[order], cosine[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
         top = place < k
@@ -205,20 +208,24 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: st
         for b in batches:
             if len(b):
                 near = _unpack(b["u"]).astype(np.float32) @ centroids.value.T
-                yield pd.DataFrame({"cid": b["cid"], "u": b["u"], "own": near.argmax(axis=1).astype(np.int32)})
+                yield pd.DataFrame({"cid": b["cid"], "low": b["low"], "u": b["u"], "own": near.argmax(axis=1).astype(np.int32)})
 
-    listed = classes.select("cid", "u").mapInPandas(assign, "cid bigint, u binary, own int")
+    # low: the smallest id of a class, which decides ties
+    listed = classes.select("cid", F.element_at("members", 1).alias("low"), "u").mapInPandas(assign, f"cid bigint, low {id_type}, u binary, own int")
     # a row for each list, at most MAX_LISTS
     counts = listed.groupBy("own").agg(F.count("*").alias("n")).toPandas()
     parts_of = np.zeros(len(fitted), dtype=np.int64)
     parts_of[counts["own"]] = -(-counts["n"].to_numpy() // PART)
     parts = spark.sparkContext.broadcast(parts_of)
     sizes = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts_of)], "own int, parts int"))
-    placed = listed.select("cid", "u", "own").join(sizes, "own").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("own", "part", "cid", "u")
+    placed = listed.join(sizes, "own").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("own", "part", "cid", "low", "u")
+
+    def by_id(low: pd.Series) -> np.ndarray:
+        return low.rank(method="first").to_numpy()
 
     def own_part(b: pd.DataFrame) -> pd.DataFrame:
         u, cid = _unpack(b["u"]), b["cid"].to_numpy()
-        q, hit, cosine = adaptive_scan(u, cid, u, cid, np.full(len(b), -np.inf), k)
+        q, hit, cosine = adaptive_scan(u, cid, u, cid, np.full(len(b), -np.inf), k, by_id(b["low"]))
         cuts = np.searchsorted(q, np.arange(len(b) + 1))
         full = cuts[1:] - cuts[:-1] >= k
         bound = np.where(full, cosine[np.maximum(cuts[1:] - 1, 0)] if len(cosine) else 0.0, -1.0)
@@ -238,7 +245,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: st
     first = materialize(placed.groupBy("own", "part").applyInPandas(own_part, schema))
     place = F.pmod("at", F.lit(MAX_LISTS)).cast("int").alias("own"), F.floor(F.col("at") / MAX_LISTS).cast("int").alias("part")
     asks = first.select("cid", "u", "bound", F.explode("asked").alias("at")).select(
-        *place, "cid", "u", "bound"
+        *place, "cid", F.lit(None).cast(id_type).alias("low"), "u", "bound"
     )
     wanted = first.select(F.explode("asked").alias("at")).groupBy("at").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     # a row for each part of a list
@@ -252,7 +259,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: st
         base, ask = b[is_base], b[~is_base]
         if not len(base) or not len(ask):
             return pd.DataFrame({"cid": np.array([], dtype=np.int64), "hits": [], "cosines": []})
-        q, hit, cosine = adaptive_scan(_unpack(base["u"]), base["cid"].to_numpy(), _unpack(ask["u"]), ask["cid"].to_numpy(), ask["bound"].to_numpy().astype(np.float64), k)
+        q, hit, cosine = adaptive_scan(_unpack(base["u"]), base["cid"].to_numpy(), _unpack(ask["u"]), ask["cid"].to_numpy(), ask["bound"].to_numpy().astype(np.float64), k, by_id(base["low"]))
         heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.array([], dtype=np.int64)
         ends = np.append(heads[1:], len(q))
         return pd.DataFrame(
@@ -266,7 +273,10 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: st
     near_enough = F.lit(True) if least is None else F.col("cosine") >= least - SLACK
     found = first.select("cid", "hits", "cosines").unionByName(more)
     found = found.select("cid", F.arrays_zip(F.transform("cosines", lambda c: -c).alias("minus"), F.col("hits").alias("hit")).alias("found"))
-    merged = found.groupBy("cid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    # what ties with the k-th stays, as ids are not known here; the final ranking decides
+    merged = found.groupBy("cid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    last = F.element_at("found", F.least(F.lit(k), F.size("found")))["minus"]
+    merged = merged.filter(F.size("found") > 0).withColumn("last", last).select("cid", F.filter("found", lambda f: f["minus"] <= F.col("last")).alias("found"))
     hits = merged.select("cid", F.explode("found").alias("f")).select("cid", "f.hit", (-F.col("f.minus")).cast("double").alias("cosine")).filter(near_enough)
     # from classes to members: a class's own members come first, at cosine 1
     of_hit = classes.select(F.col("cid").alias("hit"), F.col("members").alias("to"))

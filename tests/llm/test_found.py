@@ -110,6 +110,22 @@ def test_nearest_recall_and_ties(spark):
     assert [x for x, _ in got["w00"]] == ["v0005", *[f"w{i:02d}" for i in range(1, 10)]]
 
 
+def test_ties_between_classes_go_to_the_smaller_id(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    one = rng.standard_normal(64).astype(np.float32)
+    names = [f"c{i:02d}" for i in range(40)]
+    rows = [(name, (one * np.float32(2.0 ** (i - 20))).tolist()) for i, name in enumerate(names)]
+    rng.shuffle(rows)
+    rows += [(f"x{i:02d}", rng.standard_normal(64).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in rows], "chunk_id string, vector array<float>").repartition(4)
+    for part in (2048, 20):  # one part to a list, then ties spread over several
+        monkeypatch.setattr(neighbours, "PART", part)
+        got = defaultdict(list)
+        for r in neighbours.nearest(df, 10).orderBy("id", "place").collect():
+            got[r.id].append(r.neighbour)
+        assert all(got[name] == [n for n in names if n != name][:10] for name in names)
+
+
 def test_adaptive_scan_is_exact_when_nothing_is_abandoned():
     rng = np.random.default_rng(1)
     u = neighbours._unit(rng.standard_normal((300, 64)))
