@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ DIGITS = 6
 K1, B = 1.2, 0.75
 RRF_K = 60
 DRIVER_QUERIES = 10_000
+#: Scores that one matrix product holds in memory.
+PRODUCT_CELLS = 4_000_000
 HYBRID_DEPTH, MULTI_QUERY_DEPTH = 50, 20
 
 
@@ -74,40 +77,50 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
                  measure: str = "cosine") -> DataFrame:
     """Exact search of a stated query set, ``qid, qv``, against all vectors.
 
-    Up to DRIVER_QUERIES queries travel as one matrix; each batch of vectors is scored by a matrix product and sends on only
-    what may be among the k best.  Larger sets are joined to the vectors in blocks of queries by the same product.
-    The filter runs before anything is scored."""
+    Queries travel as matrices of at most DRIVER_QUERIES; each batch of vectors is scored by matrix products and sends on only
+    what may be among the k best.  Each further matrix is one more pass over the vectors.  Queries meet vectors of their own
+    length.  The filter runs before anything is scored."""
     base = (vectors if keep is None else vectors.filter(keep)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    asks = queries.select("qid", "qv").limit(DRIVER_QUERIES + 1).toPandas()
+    asked = queries.select("qid", "qv").filter(F.col("qv").isNotNull())
+    asks = asked.limit(DRIVER_QUERIES + 1).toPandas()
     if len(asks) > DRIVER_QUERIES:
-        pairs = base.withColumn("nv", V.norm("v")).join(queries.withColumn("nq", V.norm("qv")), F.size("v") == F.size("qv"))
-        score = V.cosine(F.col("v"), F.col("qv"), F.col("nv"), F.col("nq")) if measure == "cosine" else -V.euclidean(F.col("v"), F.col("qv"))
-        return top_k(pairs.select("qid", F.col("id").alias("chunk_id"), score.alias("score")), k, "dense" if measure == "cosine" else measure)
-    names = asks["qid"].to_numpy()
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in asks["qv"]]).reshape(len(asks), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-    kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = shared.value
-        for b in batches:
-            if not len(b) or not len(q):
-                continue
-            v = np.array([np.asarray(x, dtype=np.float64) for x in b["v"]])
-            if measure == "cosine":
-                lengths = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-                scores = np.divide(v @ q.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
-            else:
-                scores = -np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (v @ q.T), 0))
-            near = np.round(scores, DIGITS)
-            if len(v) > k:  # ties with the last place go on, the final ranking decides them
-                least = np.partition(near, len(v) - k, axis=0)[len(v) - k]
-                i, j = np.nonzero(near >= least[None, :])
-            else:
-                i, j = np.divmod(np.arange(scores.size), scores.shape[1])
-            yield pd.DataFrame({"qid": names[j], "chunk_id": b["id"].to_numpy()[i], "score": scores[i, j]})
-
-    scored = base.mapInPandas(run, f"qid {kinds[0]}, chunk_id {kinds[1]}, score double")
+        blocks = (pd.DataFrame(rows, columns=["qid", "qv"]) for rows in batched(asked.toLocalIterator(), DRIVER_QUERIES))
+    else:
+        blocks = iter([asks])
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, chunk_id {vectors.schema[id_col].dataType.simpleString()}, score double"
+
+    def scan(names: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for b in batches:
+                if not len(b):
+                    continue
+                v = np.array([np.asarray(x, dtype=np.float64) for x in b["v"]])
+                step = max(1, PRODUCT_CELLS // len(v))
+                for at in range(0, len(matrix), step):
+                    q = matrix[at : at + step]
+                    if measure == "cosine":
+                        lengths = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+                        scores = np.divide(v @ q.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
+                    else:
+                        scores = -np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (v @ q.T), 0))
+                    near = np.round(scores, DIGITS)
+                    if len(v) > k:  # ties with the last place go on, the final ranking decides them
+                        least = np.partition(near, len(v) - k, axis=0)[len(v) - k]
+                        i, j = np.nonzero(near >= least[None, :])
+                    else:
+                        i, j = np.divmod(np.arange(scores.size), scores.shape[1])
+                    yield pd.DataFrame({"qid": names[at + j], "chunk_id": b["id"].to_numpy()[i], "score": scores[i, j]})
+
+        return base.filter(F.size("v") == matrix.shape[1]).mapInPandas(run, schema)
+
+    scans = [
+        scan(same["qid"].to_numpy(), np.array([np.asarray(v, dtype=np.float64) for v in same["qv"]]))
+        for block in blocks for _, same in block.groupby(block["qv"].map(len))
+    ]
+    scored = reduce(DataFrame.unionByName, scans) if scans else vectors.sparkSession.createDataFrame([], schema)
     return top_k(scored, k, "dense" if measure == "cosine" else measure)
 
 

@@ -66,6 +66,21 @@ def test_dense_search_ties_filters_and_zero_vectors(spark):
     assert grown.count() == 12 and retrieval.delete(grown, spark.createDataFrame([("new",), ("unknown",)], "chunk_id string")).count() == 11
 
 
+def test_dense_search_of_many_queries_goes_in_blocks(spark, monkeypatch):
+    rows = [(f"c{i:03d}", v.tolist()) for i, v in enumerate(np.random.default_rng(4).standard_normal((90, 8)))] + [("short", [1.0]), ("null", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, vector array<float>")
+    q = df.select(F.col("chunk_id").alias("qid"), F.col("vector").alias("qv"))
+    for measure in ("cosine", "euclidean"):
+        monkeypatch.setattr(retrieval, "DRIVER_QUERIES", 10_000)
+        whole = retrieval.dense_search(df, q, 5, measure=measure)
+        monkeypatch.setattr(retrieval, "DRIVER_QUERIES", 40)
+        monkeypatch.setattr(retrieval, "PRODUCT_CELLS", 200)
+        blocks = retrieval.dense_search(df, q, 5, measure=measure)
+        assert "Join" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(map(tuple, blocks.collect()))
+        assert got == sorted(map(tuple, whole.collect())) and len(got) == 451
+
+
 def test_hash_buckets_find_near_vectors(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((10, 32))
