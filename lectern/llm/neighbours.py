@@ -6,23 +6,26 @@ hypothesis that a candidate still belongs to the k nearest is tested on its part
 are abandoned.  What survives all blocks is ranked by its cosine, which is summed in doubles over vectors held in half precision
 and compared in single precision.
 
-Each vector first scans the part of its own list that it lies in, which gives it a bound; the other probed lists are
-then scanned under that bound and send back only what beats it.  Lists are cut into parts of at most PART rows, and
-the queries of a part into groups of at most GROUP, so no task grows with a list.  Vectors that are equal are searched
-once, as a class, and its members share the result.
+The lists are the leaves of a tree of centroids that is grown until a leaf holds about CELL vectors, so their number follows
+the collection.  A vector asks in the list of its nearest centroid and can be found in every list whose centroid is nearly as
+near (at most COPIES, none further than MARGIN behind the best): what would be a probe of several lists by the asker is a copy in
+several lists of the found, which needs neither a second pass nor a merge.  A list that stays too large for one task (a cluster that
+no centroid parts) is asked by groups of its vectors, each a task of its own.  Vectors that are equal are searched once, as a
+class, and its members share the result; of a class only its k + 1 smallest ids travel.
 
-Approximate: the centroids are fitted on at most FIT_SAMPLE vectors, every vector is indexed, and PROBES lists are
-scanned; recall against the exact lists is measured in the tests, and on the large tables in the README.
+Approximate: the tree is fitted on a sample of 1 in SAMPLE_ONE_IN vectors (at least SAMPLE_LEAST, and no more than 64 for each list
+to be parted in one fit), every vector is indexed; recall against the exact lists is measured in the tests, and on the large tables in the README.
 
 Results for odd input: vectors that are null, of another length, all zero, or hold a null, NaN or infinite value have no
-neighbours and are nobody's neighbour; rows delivered twice count once; ties of that cosine go to the smaller id (a class of
-equal vectors stands by its smallest), also where lists are cut at k; an empty table, or
+neighbours and are nobody's neighbour; rows delivered twice count once, and of an id with several vectors the one with the smallest
+fingerprint counts; ties of that cosine go to the smaller id; an empty table, or
 one with a single usable vector, gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -34,13 +37,15 @@ from ..functions.cluster import join_side, materialize
 BLOCK = 16
 EPSILON = 2.1
 SPARSE = 0.03
-#: Rows of a list and lists probed, for whole lists of neighbours and for those above a bound, which lie close by.
-LIST_ROWS, PROBES = 1000, 14
-CLOSE_LIST_ROWS, CLOSE_PROBES = 600, 4
-MAX_LISTS = 4096
-FIT_SAMPLE = 30_000
-PART = 2048
-GROUP = 4096
+#: Vectors that a list should hold; one with more than twice as many is parted again.
+CELL = 4096
+#: Lists in which a vector can be found, and how far their centroids' cosines may lie behind the nearest one's.
+COPIES, MARGIN = 6, 0.25
+#: Children of a node of the tree, and its depth: lists for 4e9 times CELL vectors.
+FAN, LEVELS = 256, 4
+SAMPLE_ONE_IN, SAMPLE_LEAST, SAMPLE_PER_LIST = 32, 30_000, 64
+#: Tasks that scan lists at once, at most.
+TASKS = 20_000
 SEED = 7
 #: What half precision may move a cosine by, with room to spare.
 SLACK = 5e-4
@@ -55,30 +60,35 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int) -
     return vectors.filter(F.col(id_col).isNotNull() & sound).filter(finite & some).select(F.col(id_col).alias("id"), v.alias("v"))
 
 
-def _fingerprint():
-    """Two hashes that stand for a vector where equal ones are brought together; the vectors themselves stay put."""
-    return F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(SEED), "v").alias("b"))
+def _fingerprint(column: str):
+    """Two hashes that stand for a value where equal ones are brought together; the values themselves stay put."""
+    return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(SEED), column).alias("b"))
 
 
-def vector_classes(vectors: DataFrame, k: int, id_col: str, vector_col: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal vectors, ``cid, print, members, v`` with the k + 1 smallest ids of each, and all members,
-    ``id, print``, of the classes that have several.  Of an id with several vectors the one with the smallest print counts.
+def vector_classes(vectors: DataFrame, k: int, id_col: str, vector_col: str, dim: int) -> tuple[DataFrame, DataFrame, int]:
+    """Classes of equal vectors, ``low, rest, big, v``: the smallest id, the next k ones (null where there are none) and whether the
+    class has more; the members beyond, ``id, low``; and the number of classes.
 
-    Only prints and ids are shuffled; the vectors of classes with one row are not."""
-    rows = usable_vectors(vectors, id_col, vector_col, dim).withColumn("print", _fingerprint())
-    seen = rows.groupBy("id").agg(F.min("print").alias("print"), F.count("*").alias("n"))
-    kept = materialize(seen)
-    shared = kept.groupBy("print").agg(F.count("*").alias("ids"), F.sum("n").alias("rows"))
+    Hashes of ids and vectors are shuffled, and the ids of classes with several rows; no vector of a class with one row is."""
+    rows = usable_vectors(vectors, id_col, vector_col, dim).withColumn("key", _fingerprint("id")).withColumn("print", _fingerprint("v"))
+    seen = materialize(rows.groupBy("key").agg(F.min("print").alias("print"), F.max("print").alias("high"), F.count("*").alias("n")))
+    shared = materialize(seen.groupBy("print").agg(F.count("*").alias("ids"), F.sum("n").alias("rows")))
     several = join_side(shared.filter("rows > 1").select("print", "ids"))
-    disputed = join_side(rows.groupBy("id").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low != high").select("id", "low"))
-    rows = rows.join(disputed, "id", "left").filter(F.col("low").isNull() | (F.col("low") == F.col("print"))).drop("low")
-    alone = rows.join(several, "print", "left_anti").select("print", F.array("id").alias("members"), "v")
-    members = kept.join(several.filter("ids > 1"), "print", "left_semi").select("id", "print")
+    disputed = join_side(seen.filter("print != high").select("key", F.col("print").alias("mine")))
+    rows = rows.join(disputed, "key", "left").filter(F.col("mine").isNull() | (F.col("mine") == F.col("print"))).select("id", "print", "v")
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    none = F.lit(None).cast(f"array<{id_type}>")
+    alone = rows.join(several, "print", "left_anti").select(F.col("id").alias("low"), none.alias("rest"), F.lit(False).alias("big"), "v")
+    members = materialize(rows.join(several, "print").groupBy("print", "id").agg(F.max("ids").alias("ids")))
     by_print = Window.partitionBy("print").orderBy("id")
-    heads = kept.join(several, "print", "left_semi").select("id", "print").withColumn("nth", F.row_number().over(by_print)).filter(F.col("nth") <= k + 1)
-    heads = heads.groupBy("print").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    heads = members.withColumn("nth", F.row_number().over(by_print)).filter(F.col("nth") <= k + 1)
+    heads = heads.groupBy("print").agg(F.array_sort(F.collect_list("id")).alias("heads"), (F.max("ids") > k + 1).alias("big"))
+    heads = join_side(heads, 20_000)
     first = rows.join(several, "print", "left_semi").select("print", "v").dropDuplicates(["print"])
-    return alone.unionByName(first.join(heads, "print").select("print", "members", "v")), members
+    low, rest = F.element_at("heads", 1), F.slice("heads", 2, k)
+    together = first.join(heads, "print").select(low.alias("low"), F.when(F.size("heads") > 1, rest).alias("rest"), "big", "v")
+    beyond = members.filter(F.col("ids") > k + 1).join(heads.filter("big"), "print").filter(F.col("id") > F.element_at("heads", -1))
+    return alone.unionByName(together), beyond.select("id", low.alias("low")), shared.count()
 
 
 def _rotation(dim: int) -> np.ndarray:
@@ -181,125 +191,205 @@ def _unpack(column) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "vector", dim: int = 64, probes: int = PROBES,
-            list_rows: int = LIST_ROWS, least: float | None = None) -> DataFrame:
+@dataclass
+class Tree:
+    """Centroids by node: ``fans[n]`` are those of node n's children, ``children[n]`` their numbers; a node without a fan is a list."""
+
+    fans: dict[int, np.ndarray] = field(default_factory=dict)
+    children: dict[int, np.ndarray] = field(default_factory=dict)
+    #: Groups that ask in a list, one where it is not named.
+    groups: dict[int, int] = field(default_factory=dict)
+    size: int = 1
+
+    def part(self, node: int, centroids: np.ndarray) -> None:
+        self.fans[node] = centroids.astype(np.float32)
+        self.children[node] = np.arange(self.size, self.size + len(centroids))
+        self.size += len(centroids)
+
+    def route(self, u: np.ndarray, copies: int = COPIES, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, place) with place 0 for a row's nearest list, ordered by row and place."""
+        rows, lists, sims = [], [], []
+
+        def visit(node: int, at: np.ndarray, sim: np.ndarray) -> None:
+            if node not in self.fans:
+                rows.append(at)
+                lists.append(np.full(len(at), node))
+                sims.append(sim)
+                return
+            s = u[at] @ self.fans[node].T
+            near = s >= s.max(axis=1, keepdims=True) - margin
+            if s.shape[1] > copies:
+                near &= s >= np.partition(s, -copies, axis=1)[:, -copies][:, None]
+            for c, child in enumerate(self.children[node].tolist()):
+                here = np.flatnonzero(near[:, c])
+                if len(here):
+                    visit(child, at[here], s[here, c])
+
+        visit(0, np.arange(len(u)), np.zeros(len(u), dtype=np.float32))
+        row, leaf, sim = np.concatenate(rows), np.concatenate(lists), np.concatenate(sims)
+        order = np.lexsort((leaf, -sim, row))
+        row, leaf, sim = row[order], leaf[order], sim[order]
+        first = np.searchsorted(row, row, side="left")
+        place = np.arange(len(row)) - first
+        keep = (place < copies) & (sim >= sim[first] - margin)
+        return row[keep], leaf[keep], place[keep]
+
+
+def grow_tree(sample: DataFrame, total: int, cell: int | None = None) -> Tree:
+    """Parts lists until each holds about ``cell`` of the ``total`` vectors, level by level, judged by a materialized sample ``u``.
+
+    Each list to be parted is fitted by one task on a bounded share of its sample; the driver gets centroids and counts by list only."""
+    spark, tree, cell = sample.sparkSession, Tree(), cell or CELL
+    drawn = sample.count()
+    scale = total / max(drawn, 1)
+    counts = {0: drawn}
+    for _ in range(LEVELS):
+        wanted = {n: min(FAN, -(-int(c * scale) // cell)) for n, c in counts.items() if c * scale > 2 * cell}
+        wanted = {n: min(w, counts[n] // 8) for n, w in wanted.items() if counts[n] >= 16}
+        if not wanted:
+            break
+        share = {n: SAMPLE_PER_LIST * w / counts[n] for n, w in wanted.items()}
+        shared = spark.sparkContext.broadcast((tree, wanted, share))
+
+        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tree, wanted, share = shared.value
+            for b in batches:
+                if not len(b):
+                    continue
+                row, node, _ = tree.route(_unpack(b["u"]).astype(np.float32), 1, 0.0)
+                u = b["u"].to_numpy()[row]
+                chance = np.array([share.get(n, 0.0) for n in node.tolist()])
+                take = (pd.util.hash_array(u, categorize=False) >> np.uint64(11)) / float(1 << 53) < chance
+                yield pd.DataFrame({"node": node[take], "u": u[take]})
+
+        def fit(b: pd.DataFrame) -> pd.DataFrame:
+            node = int(b["node"].iloc[0])
+            b = b.sort_values("u")
+            fitted = fit_centroids(_unpack(b["u"]), shared.value[1][node])
+            return pd.DataFrame({"node": node, "child": np.arange(len(fitted)), "c": [r.tobytes() for r in np.ascontiguousarray(fitted)]})
+
+        picked = sample.mapInPandas(pick, "node bigint, u binary")
+        fitted = picked.groupBy("node").applyInPandas(fit, "node bigint, child bigint, c binary").toPandas()
+        for node, part in fitted.groupby("node"):
+            m = np.frombuffer(b"".join(part.sort_values("child")["c"]), dtype=np.float32).reshape(len(part), -1)
+            if len(m) > 1:
+                tree.part(int(node), m)
+        grown = spark.sparkContext.broadcast(tree)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"node": grown.value.route(_unpack(b["u"]).astype(np.float32), 1, 0.0)[1]})
+
+        placed = sample.mapInPandas(place, "node bigint").groupBy("node").agg(F.count("*").alias("n")).toPandas()
+        counts = dict(zip(placed["node"].tolist(), placed["n"].tolist()))
+    tree.groups = {n: -(-int(c * scale) // (2 * cell)) for n, c in counts.items() if c * scale > 2 * cell}
+    return tree
+
+
+def nearest(vectors: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "vector", dim: int = 64, least: float | None = None) -> DataFrame:
     """``id, neighbour, cosine, place``: the k most similar others of every usable vector, by the operator above.
 
-    ``least`` leaves out what is less similar, after the k of each vector are known.  Vectors travel in half precision,
+    ``least`` leaves out what is less similar; every scan starts with it as its bound.  Vectors travel in half precision,
     which moves a cosine by some hundred-thousandths; :func:`close_pairs` decides its bound on the vectors as given."""
     spark = vectors.sparkSession
-    plain, members = vector_classes(vectors, k, id_col, vector_col, dim)
+    classes, beyond, total = vector_classes(vectors, k, id_col, vector_col, dim)
+    id_type = vectors.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"a": b["a"], "b": b["b"], "members": b["members"], "u": _pack(_unit(b["v"]))})
+                yield pd.DataFrame({"u": _pack(_unit(b["v"]))})
 
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    packed = plain.select("print.a", "print.b", "members", "v").mapInPandas(pack, f"a bigint, b bigint, members array<{id_type}>, u binary")
-    classes = materialize(packed.withColumn("cid", F.monotonically_increasing_id()))
-    total = classes.count()
-    share = min(1.0, FIT_SAMPLE / max(total, 1))
-    sample = (classes.select("u").sample(share, SEED).limit(FIT_SAMPLE) if share < 1 else classes.select("u")).toPandas()
-    fitted = fit_centroids(_unpack(sample["u"]), min(MAX_LISTS, -(-total // list_rows))) if len(sample) else np.zeros((1, dim), dtype=np.float32)
-    centroids = spark.sparkContext.broadcast(fitted)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    share = min(1.0, max(SAMPLE_LEAST, total // SAMPLE_ONE_IN) / max(total, 1))
+    tree = grow_tree(materialize(classes.select("v").sample(share, SEED).mapInPandas(pack, "u binary")), total)
+    shared = spark.sparkContext.broadcast(tree)
+    start = -np.inf if least is None else least - SLACK
+    tasks = max(1, min(TASKS, (tree.size + sum(tree.groups.values())) // 2))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = shared.value
         for b in batches:
-            if len(b):
-                near = _unpack(b["u"]).astype(np.float32) @ centroids.value.T
-                yield pd.DataFrame({"cid": b["cid"], "low": b["low"], "u": b["u"], "own": near.argmax(axis=1).astype(np.int32)})
-
-    # low: the smallest id of a class, which decides ties
-    listed = classes.select("cid", F.element_at("members", 1).alias("low"), "u").mapInPandas(assign, f"cid bigint, low {id_type}, u binary, own int")
-    # a row for each list, at most MAX_LISTS
-    counts = listed.groupBy("own").agg(F.count("*").alias("n")).toPandas()
-    parts_of = np.zeros(len(fitted), dtype=np.int64)
-    parts_of[counts["own"]] = -(-counts["n"].to_numpy() // PART)
-    parts = spark.sparkContext.broadcast(parts_of)
-    sizes = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts_of)], "own int, parts int"))
-    placed = listed.join(sizes, "own").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("own", "part", "cid", "low", "u")
-
-    def by_id(low: pd.Series) -> np.ndarray:
-        return low.rank(method="first").to_numpy()
-
-    def own_part(b: pd.DataFrame) -> pd.DataFrame:
-        u, cid = _unpack(b["u"]), b["cid"].to_numpy()
-        q, hit, cosine = adaptive_scan(u, cid, u, cid, np.full(len(b), -np.inf), k, by_id(b["low"]))
-        cuts = np.searchsorted(q, np.arange(len(b) + 1))
-        full = cuts[1:] - cuts[:-1] >= k
-        bound = np.where(full, cosine[np.maximum(cuts[1:] - 1, 0)] if len(cosine) else 0.0, -1.0)
-        near = u.astype(np.float32) @ centroids.value.T
-        n = min(probes, near.shape[1])
-        some = np.argpartition(-near, n - 1, axis=1)[:, :n]
-        own, part = int(b["own"].iloc[0]), int(b["part"].iloc[0])
-        asked = [[int(l) + MAX_LISTS * p for l in row for p in range(parts.value[l]) if l != own or p != part] for row in some]
-        return pd.DataFrame(
-            {
-                "cid": cid, "u": b["u"], "bound": bound.astype(np.float32), "asked": asked,
-                "hits": [hit[s:e].astype(np.int64) for s, e in zip(cuts[:-1], cuts[1:])], "cosines": [cosine[s:e].astype(np.float32) for s, e in zip(cuts[:-1], cuts[1:])],
-            }
-        )
-
-    schema = "cid bigint, u binary, bound float, asked array<int>, hits array<bigint>, cosines array<float>"
-    first = materialize(placed.groupBy("own", "part").applyInPandas(own_part, schema))
-    place = F.pmod("at", F.lit(MAX_LISTS)).cast("int").alias("own"), F.floor(F.col("at") / MAX_LISTS).cast("int").alias("part")
-    asks = first.select("cid", "u", "bound", F.explode("asked").alias("at")).select(
-        *place, "cid", F.lit(None).cast(id_type).alias("low"), "u", "bound"
-    )
-    wanted = first.select(F.explode("asked").alias("at")).groupBy("at").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    # a row for each part of a list
-    groups = join_side(wanted.select(*place, "groups"))
-    asks = asks.join(groups, ["own", "part"]).withColumn("grp", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int")).drop("groups")
-    base = placed.join(groups, ["own", "part"]).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-    both = base.withColumn("bound", F.lit(None).cast("float")).unionByName(asks)
-
-    def other_parts(b: pd.DataFrame) -> pd.DataFrame:
-        is_base = b["bound"].isna().to_numpy()
-        base, ask = b[is_base], b[~is_base]
-        if not len(base) or not len(ask):
-            return pd.DataFrame({"cid": np.array([], dtype=np.int64), "hits": [], "cosines": []})
-        q, hit, cosine = adaptive_scan(_unpack(base["u"]), base["cid"].to_numpy(), _unpack(ask["u"]), ask["cid"].to_numpy(), ask["bound"].to_numpy().astype(np.float64), k, by_id(base["low"]))
-        heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.array([], dtype=np.int64)
-        ends = np.append(heads[1:], len(q))
-        return pd.DataFrame(
-            {
-                "cid": ask["cid"].to_numpy()[q[heads].astype(np.int64)],
-                "hits": [hit[s:e].astype(np.int64) for s, e in zip(heads, ends)], "cosines": [cosine[s:e].astype(np.float32) for s, e in zip(heads, ends)],
-            }
-        )
-
-    more = both.groupBy("own", "part", "grp").applyInPandas(other_parts, "cid bigint, hits array<bigint>, cosines array<float>")
-    near_enough = F.lit(True) if least is None else F.col("cosine") >= least - SLACK
-    found = first.select("cid", "hits", "cosines").unionByName(more)
-    found = found.select("cid", F.arrays_zip(F.transform("cosines", lambda c: -c).alias("minus"), F.col("hits").alias("hit")).alias("found"))
-    # what ties with the k-th stays, as ids are not known here; the final ranking decides
-    merged = found.groupBy("cid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    last = F.element_at("found", F.least(F.lit(k), F.size("found")))["minus"]
-    merged = merged.filter(F.size("found") > 0).withColumn("last", last).select("cid", F.filter("found", lambda f: f["minus"] <= F.col("last")).alias("found"))
-    hits = merged.select("cid", F.explode("found").alias("f")).select("cid", "f.hit", (-F.col("f.minus")).cast("double").alias("cosine")).filter(near_enough)
-    # from classes to members: a class's own members come first, at cosine 1
-    of_hit = classes.select(F.col("cid").alias("hit"), F.col("members").alias("to"))
-    spread = hits.join(of_hit, "hit").select("cid", F.explode("to").alias("to"), "cosine")
-    own = classes.filter(F.size("members") > 1).select("cid", F.explode("members").alias("to"), F.lit(1.0).alias("cosine"))
-    ranked = Window.partitionBy("cid").orderBy(F.desc("cosine"), "to")
-    lists_ = spread.unionByName(own).withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= k + 1)
-    singles = classes.filter(F.size("members") == 1).select(F.element_at("members", 1).alias("id"), "cid")
-    twins = members.select("id", "print.a", "print.b").join(classes.filter(F.size("members") > 1).select("a", "b", "cid"), ["a", "b"]).select("id", "cid")
-    final = Window.partitionBy("id").orderBy("nth")
-    out = singles.unionByName(twins).join(lists_, "cid").filter(F.col("to") != F.col("id")).withColumn("place", F.row_number().over(final))
-    return out.filter(F.col("place") <= k).select("id", F.col("to").alias("neighbour"), "cosine", "place")
+            if not len(b):
+                continue
+            u = _unit(b["v"])
+            row, leaf, place = tree.route(u.astype(np.float32))
+            groups = np.array([tree.groups.get(n, 1) for n in leaf.tolist()])
+            of = np.repeat(np.arange(len(row)), groups)
+            group = np.arange(len(of)) - np.repeat(np.cumsum(groups) - groups, groups)
+            row, leaf, place, groups = row[of], leaf[of], place[of], groups[of]
+            own = pd.util.hash_array(b["low"].to_numpy(), categorize=False)[row] % groups.astype(np.uint64)
+            packed = np.array(_pack(u), dtype=object)
+            yield pd.DataFrame(
+                {
+                    "leaf": leaf, "grp": group, "asks": (place == 0) & (own == group), "low": b["low"].to_numpy()[row], "rest": b["rest"].to_numpy()[row],
+                    "big": b["big"].to_numpy()[row], "u": packed[row],
+                }
+            )
+
+    def scan(b: pd.DataFrame) -> pd.DataFrame:
+        asks = np.flatnonzero(b["asks"].to_numpy())
+        if not len(asks):
+            return pd.DataFrame({"id": [], "low": [], "found": [], "cosines": []}, dtype=object)
+        u, low, rest, big = _unpack(b["u"]), b["low"].to_numpy(), b["rest"].to_numpy(), b["big"].to_numpy()
+        q, hit, cosine = adaptive_scan(u, np.arange(len(b)), u[asks], asks, np.full(len(asks), start), k, b["low"].rank(method="first").to_numpy())
+        cuts = np.searchsorted(q, np.arange(len(asks) + 1))
+        hit = hit.astype(np.int64)
+        several = np.array([r is not None for r in rest])
+        plain = ~several[asks]
+        plain[q[several[hit]].astype(np.int64)] = False
+        ids, of, found, cosines = [], [], [], []
+        for i, at in enumerate(asks.tolist()):
+            s, e = cuts[i], cuts[i + 1]
+            if plain[i]:
+                ids.append(low[at])
+                of.append(None)
+                found.append(low[hit[s:e]])
+                cosines.append(cosine[s:e])
+                continue
+            own = [low[at], *(rest[at] if several[at] else ())]
+            every = [(-1.0, x) for x in own]
+            for h, c in zip(hit[s:e].tolist(), cosine[s:e].tolist()):
+                every += [(-c, x) for x in (low[h], *(rest[h] if several[h] else ()))]
+            every = sorted(every)[: k + 1]
+            for x in own:
+                mine = [y for y in every if y[1] != x][:k]
+                ids.append(x)
+                of.append(None)
+                found.append([y for _, y in mine])
+                cosines.append([-c for c, _ in mine])
+            if big[at]:
+                ids.append(None)
+                of.append(low[at])
+                found.append([y for _, y in every[:k]])
+                cosines.append([-c for c, _ in every[:k]])
+        return pd.DataFrame({"id": ids, "low": of, "found": found, "cosines": cosines})
+
+    sent = f"leaf bigint, grp bigint, asks boolean, low {id_type}, rest array<{id_type}>, big boolean, u binary"
+    lists = f"id {id_type}, low {id_type}, found array<{id_type}>, cosines array<float>"
+    placed = classes.mapInPandas(spread, sent)
+    result = placed.repartition(tasks, "leaf", "grp").groupBy("leaf", "grp").applyInPandas(scan, lists).filter(F.col("id").isNotNull()).select("id", "found", "cosines")
+    # members beyond the k + 1 that travel share their class's list, which is made again from the few lists that hold such classes
+    beyond = materialize(beyond)
+    if not beyond.isEmpty():
+        held = placed.filter("big AND asks").select("leaf", "grp").distinct()
+        again = placed.join(join_side(held), ["leaf", "grp"], "left_semi").withColumn("asks", F.col("asks") & F.col("big"))
+        of_class = again.groupBy("leaf", "grp").applyInPandas(scan, lists).filter(F.col("id").isNull()).select("low", "found", "cosines")
+        result = result.unionByName(beyond.join(join_side(of_class), "low").select("id", "found", "cosines"))
+    near = result.select("id", F.posexplode(F.arrays_zip(F.col("found").alias("to"), "cosines")).alias("place", "f"))
+    near = near.select("id", F.col("f.to").alias("neighbour"), F.col("f.cosines").cast("double").alias("cosine"), (F.col("place") + 1).alias("place"))
+    return near if least is None else near.filter(F.col("cosine") >= least - SLACK)
 
 
 def close_pairs(vectors: DataFrame, k: int, least: float = 0.9, id_col: str = "chunk_id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
     """``chunk_a, chunk_b``: pairs of which one is among the k nearest of the other and the cosine is at least ``least``,
     each once, smaller id first.  The cosine that decides is of the vectors as given, in doubles."""
-    near = nearest(vectors, k, id_col, vector_col, dim, CLOSE_PROBES, CLOSE_LIST_ROWS, least)
+    near = nearest(vectors, k, id_col, vector_col, dim, least)
     pairs = materialize(near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b"), "cosine").distinct())
     sure = pairs.filter(F.col("cosine") >= least + SLACK).select("chunk_a", "chunk_b")
     unsure = pairs.filter((F.col("cosine") < least + SLACK)).select("chunk_a", "chunk_b")
     asked = join_side(unsure.select(F.explode(F.array("chunk_a", "chunk_b")).alias("id")).distinct())
-    rows = usable_vectors(vectors, id_col, vector_col, dim).join(asked, "id", "left_semi").withColumn("print", _fingerprint())
+    rows = usable_vectors(vectors, id_col, vector_col, dim).join(asked, "id", "left_semi").withColumn("print", _fingerprint("v"))
     # as in vector_classes, the vector of the smallest print stands for an id
     given = materialize(rows.groupBy("id").agg(F.min(F.struct("print", "v")).alias("s")).select("id", F.transform("s.v", lambda x: x.cast("double")).alias("v")))
     one, two = given.select(F.col("id").alias("chunk_a"), F.col("v").alias("x")), given.select(F.col("id").alias("chunk_b"), F.col("v").alias("y"))
