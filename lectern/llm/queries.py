@@ -48,6 +48,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).filter(F.col("piece_no") == 0).select("chunk_id")
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every set of pieces must fulfil: the item's text whole, the limit and the overlap kept, the offsets right."""
+    s = settings(spark, sf_dir)
+    whole = splitting.rejoined(p3_pieces(spark, sf_dir), table(spark, sf_dir, "parsed_documents"))
+    limit, overlap = int(s["chunking.maxTokens"]), int(s["chunking.overlapTokens"])
+    return whole.select("chunk_id", "solid", (F.col("most_tokens") <= limit).alias("within_limit"), (F.col("most_shared") <= overlap).alias("within_overlap"), "misplaced")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defective_pairs(table(spark, sf_dir, "review_items"), table(spark, sf_dir, "questions"), _profiles(spark, sf_dir))
 
@@ -122,7 +130,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_templates, p1_clean_texts, p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_tags, p5_found, p5_repaired,
+        p1_found, p1_templates, p1_clean_texts, p2_found, p2_neighbours, p3_found, p3_pieces, p3_rejoined, p4_found, p4_tags, p5_found, p5_repaired,
         p6_found, p6_containers, p6_report, p6_instructions, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_passages,
     )
 }
@@ -157,6 +165,9 @@ SQL = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS place FROM pairs)
         SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM ranked WHERE place <= 10 AND c >= 0.9""",
     "p3_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE {_TOKENS} > {_SETTING.format('chunking.maxTokens')}",
+    "p3_rejoined": f"""
+        SELECT DISTINCT chunk_id, sha256(regexp_replace(text, '{splitting.WHITE}', '', 'g')) AS solid, true AS within_limit, true AS within_overlap, cast(0 AS BIGINT) AS misplaced
+        FROM chunks WHERE {_TOKENS} > {_SETTING.format('chunking.maxTokens')}""",
     "p6_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > {_SETTING.format('generation.contextBudgetTokens')}",
     "p7_found": f"""
         WITH sized AS (SELECT source, {_TOKENS} AS t FROM documents),

@@ -118,15 +118,58 @@ def test_ties_between_classes_go_to_the_smaller_id(spark, monkeypatch):
     rng.shuffle(rows)
     rows += [(f"x{i:02d}", rng.standard_normal(64).astype(np.float32).tolist()) for i in range(60)]
     df = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in rows], "chunk_id string, vector array<float>").repartition(4)
-    for part in (2048, 20):  # one part to a list, then ties spread over several
-        monkeypatch.setattr(neighbours, "PART", part)
+    for cell in (4096, 6):  # one list, then a cluster that no centroid parts is asked in groups
+        monkeypatch.setattr(neighbours, "CELL", cell)
         got = defaultdict(list)
         for r in neighbours.nearest(df, 10).orderBy("id", "place").collect():
             got[r.id].append(r.neighbour)
         assert all(got[name] == [n for n in names if n != name][:10] for name in names)
 
 
-def test_adaptive_scan_is_exact_when_nothing_is_abandoned():
+def _brute(rows, k):
+    ids = sorted(rows)
+    m = np.array([rows[i] for i in ids], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    sims = m @ m.T
+    np.fill_diagonal(sims, -9)
+    return ids, sims, {ids[i]: [ids[j] for j in np.lexsort((np.arange(len(ids)), -np.round(sims[i], 6)))[:k]] for i in range(len(ids))}
+
+
+def test_recall_over_many_lists_and_a_deep_tree(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((25, 64))
+    rows = {f"v{i:05d}": (centres[int(25 * rng.random() ** 2)] + 0.7 * rng.standard_normal(64)).astype(np.float32).tolist() for i in range(3000)}
+    monkeypatch.setattr(neighbours, "CELL", 60)
+    monkeypatch.setattr(neighbours, "FAN", 8)
+    grown = []
+    grow = neighbours.grow_tree
+    monkeypatch.setattr(neighbours, "grow_tree", lambda *a: grown.append(grow(*a)) or grown[-1])
+    df = spark.createDataFrame(list(rows.items()), "chunk_id string, vector array<float>").repartition(5)
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, 10).orderBy("id", "place").collect():
+        got[r.id].append(r.neighbour)
+    leaves = grown[0].size - len(grown[0].fans)
+    assert leaves >= 20 and len(grown[0].fans) > 1  # lists below lists
+    ids, sims, want = _brute(rows, 10)
+    assert sum(len(set(got[i]) & set(want[i])) for i in ids) >= 0.9 * 10 * len(ids)
+
+
+def test_close_pairs_over_many_lists_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((300, 64))
+    rows = {f"v{i:05d}": (centres[i % 300] + rng.choice([0.05, 0.25, 0.34]) * rng.standard_normal(64)).astype(np.float32).tolist() for i in range(1500)}
+    rows |= {f"w{i:03d}": rows["v00007"] for i in range(30)}  # a class with more members than travel
+    monkeypatch.setattr(neighbours, "CELL", 50)
+    df = spark.createDataFrame(list(rows.items()), "chunk_id string, vector array<float>").repartition(5)
+    got = {tuple(r) for r in neighbours.close_pairs(df, 10).collect()}
+    ids, sims, near = _brute(rows, 10)
+    at = {k: i for i, k in enumerate(ids)}
+    want = {tuple(sorted((a, b))) for a in ids for b in near[a] if sims[at[a], at[b]] >= 0.9}
+    assert len(want) > 500 and got <= want and len(got) >= 0.99 * len(want)
+    assert {p for p in want if "w0" in p[0] + p[1]} == {p for p in got if "w0" in p[0] + p[1]}
+
+
+def test_adaptive_scan_keeps_nine_of_ten():
     rng = np.random.default_rng(1)
     u = neighbours._unit(rng.standard_normal((300, 64)))
     ids = np.arange(300)
