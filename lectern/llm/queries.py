@@ -23,7 +23,15 @@ def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_lines.without_site_lines(table(spark, sf_dir, "parsed_documents"))
+    return site_lines.without_site_lines(table(spark, sf_dir, "parsed_documents")).select("doc_id", "text", F.col("removed").cast("bigint").alias("removed"))
+
+
+def p1_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source, how many lines go with templates on: those of site wordings, and those that only a template covers."""
+    parsed = table(spark, sf_dir, "parsed_documents")
+    clean = site_lines.without_site_lines(parsed, templates=True)
+    joined = clean.join(parsed.select("doc_id", "source"), "doc_id")
+    return joined.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("removed") - F.col("by_template")).alias("site_lines"), F.sum("by_template").alias("by_template_only"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +69,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "review_items").select(F.col("answer_id").alias("id"), "question", "given", "refusal").dropDuplicates(["id"])
-    return pair_defects.tag_pairs(items, _profiles(spark, sf_dir)).withColumnRenamed("id", "answer_id")
+    rows, profiles = table(spark, sf_dir, "review_items"), _profiles(spark, sf_dir)
+    tagged = pair_defects.tag_pairs(pair_defects.distinct_items(rows), profiles, pair_defects.fit_sample(rows, profiles))
+    return tagged.withColumnRenamed("id", "answer_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +98,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_containers(spark, sf_dir).filter((F.col("pieces") > 1) & (F.col("piece_no") == 0)).select("doc_id")
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must fulfil: each item whole, in as many pieces as it needs, and no container over its capacity."""
+    placed, capacity = p6_containers(spark, sf_dir), _capacity(spark, sf_dir)
+    over = placed.groupBy("container").agg(F.sum("tokens").alias("t")).filter(F.col("t") > capacity).select("container", F.lit(1).alias("over"))
+    joined = placed.join(over, "container", "left")
+    return joined.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.count("over").alias("overfull"))
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p6_containers(spark, sf_dir), _capacity(spark, sf_dir))
 
@@ -130,8 +147,8 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_templates, p1_clean_texts, p2_found, p2_neighbours, p3_found, p3_pieces, p3_rejoined, p4_found, p4_tags, p5_found, p5_repaired,
-        p6_found, p6_containers, p6_report, p6_instructions, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_passages,
+        p1_found, p1_templates, p1_clean_texts, p1_template_lines, p2_found, p2_neighbours, p3_found, p3_pieces, p3_rejoined, p4_found, p4_tags, p5_found, p5_repaired,
+        p6_found, p6_containers, p6_totals, p6_report, p6_instructions, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_passages,
     )
 }
 
@@ -139,19 +156,26 @@ _UNITS = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}
 _TOKENS = "cast(ceil(" + _UNITS.format("text") + " / 4.0) as bigint)"
 _SETTING = "(SELECT cast(setting_value AS INTEGER) FROM rag_config WHERE setting = '{}')"
 
-SQL = {
-    "p1_found": """
-        WITH docs AS (SELECT doc_id, source FROM parsed_documents WHERE NOT scanned),
+_SITE_LINES = """
+        docs AS (SELECT doc_id, source FROM parsed_documents WHERE NOT scanned),
         sizes AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
         cut AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS ls FROM pages),
         lines AS (SELECT doc_id, page_no, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM cut),
-        worded AS (SELECT d.source, l.doc_id, l.page_no, l.line_no,
+        worded AS (SELECT d.source, l.doc_id, l.page_no, l.line_no, l.line,
                           replace(lower(regexp_replace(l.line, '[^\\pL]+', '', 'g')), 'ß', 'ss') AS w
                    FROM lines l JOIN docs d USING (doc_id)),
-        counted AS (SELECT source, w, count(DISTINCT doc_id) AS c FROM worded WHERE length(w) >= 6 GROUP BY source, w)
+        counted AS (SELECT source, w, count(DISTINCT doc_id) AS c FROM worded WHERE length(w) >= 6 GROUP BY source, w)"""
+SQL = {
+    "p1_found": f"""
+        WITH {_SITE_LINES}
         SELECT w.doc_id, cast(w.page_no AS INTEGER) AS page_no, cast(w.line_no AS INTEGER) AS line_no
-        FROM worded w JOIN counted c ON w.source = c.source AND w.w = c.w JOIN sizes s ON s.source = w.source
+        FROM worded w JOIN counted c ON w.source IS NOT DISTINCT FROM c.source AND w.w = c.w JOIN sizes s ON s.source IS NOT DISTINCT FROM w.source
         WHERE c.c >= 3 AND c.c * 10 >= s.n""",
+    "p1_clean_texts": f"""
+        WITH {_SITE_LINES.replace("page_no, string_split", "0 AS page_no, string_split").replace("FROM pages", "FROM parsed_documents")},
+        marked AS (SELECT w.doc_id, w.line_no, w.line, coalesce(c.c >= 3 AND c.c * 10 >= s.n, false) AS site
+                   FROM worded w JOIN sizes s ON s.source IS NOT DISTINCT FROM w.source LEFT JOIN counted c ON w.source IS NOT DISTINCT FROM c.source AND w.w = c.w)
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT site), '') AS text, count(*) FILTER (site) AS removed FROM marked GROUP BY doc_id""",
     "p2_found": """
         WITH sound AS (
           SELECT chunk_id, min(vector) AS v FROM vectors
@@ -169,6 +193,9 @@ SQL = {
         SELECT DISTINCT chunk_id, sha256(regexp_replace(text, '{splitting.WHITE}', '', 'g')) AS solid, true AS within_limit, true AS within_overlap, cast(0 AS BIGINT) AS misplaced
         FROM chunks WHERE {_TOKENS} > {_SETTING.format('chunking.maxTokens')}""",
     "p6_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > {_SETTING.format('generation.contextBudgetTokens')}",
+    "p6_totals": f"""
+        SELECT doc_id, t AS tokens, cast(ceil(t / cast({_SETTING.format('generation.contextBudgetTokens')} AS DOUBLE)) AS BIGINT) AS pieces, cast(0 AS BIGINT) AS overfull
+        FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE t > 0""",
     "p7_found": f"""
         WITH sized AS (SELECT source, {_TOKENS} AS t FROM documents),
         own AS (SELECT source, sum(t) AS t FROM sized GROUP BY source)
