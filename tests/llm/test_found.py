@@ -58,18 +58,36 @@ def test_site_templates_have_wildcards(spark):
     df = spark.createDataFrame(rows, PARSED)
     found = {r.template: r for r in site_lines.site_templates(df).collect()}
     assert found["by <*> of the press staff writer"].documents == 8 and found["by <*> of the press staff writer"].wordings == 8
-    assert all("staff" not in r.text and r.removed == 1 for r in site_lines.without_site_lines(df).collect())
+    assert all("staff" not in r.text and (r.removed, r.by_template) == (1, 1) for r in site_lines.without_site_lines(df, templates=True).collect())
+    assert all(r.removed == 0 for r in site_lines.without_site_lines(df).collect())  # no wording repeats: nothing is found, nothing removed
 
 
 def test_site_line_whose_words_are_parted_differently(spark):
     ways = ["share this page", "sharethis page", "share thispage", "sharethispage"]
     parsed = spark.createDataFrame([(f"d{i}", "s", None, False, w) for i, w in enumerate(ways)], PARSED)
     pages = spark.createDataFrame([(f"d{i}", 1, w) for i, w in enumerate(ways)], PAGES)
-    assert site_lines.site_nodes(parsed, ("n",)).count() == 0
-    assert [(r.kind, r.documents) for r in site_lines.site_nodes(parsed, ("w",)).collect()] == [("w", 4)]
+    assert site_lines.site_templates(parsed).count() == 0
+    assert [r.documents for r in site_lines.site_wordings(parsed).collect()] == [4]
     assert site_lines.found_lines(pages, parsed).count() == 4
 
 
+def test_found_and_removed_lines_are_the_same(spark):
+    docs, _ = _site_rows()
+    parsed = spark.createDataFrame(docs, PARSED)
+    pages = parsed.select("doc_id", F.lit(1).alias("page_no"), "text")
+    found = {r.doc_id: r.n for r in site_lines.found_lines(pages, parsed).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert {r.doc_id: r.removed for r in site_lines.without_site_lines(parsed).collect() if r.removed} == found and found
+
+
+def test_lines_that_share_a_node_are_told_apart(spark):
+    # one covering node, a wildcard between its ends; only one of its wordings covers enough documents
+    lines = ["Printed for readers in may"] * 3 + ["Printed by others in may!"[:14] + f" {'qwertyu'[i]}eaders in may" for i in range(5)]
+    rows = [(f"d{i}", "s", None, False, l) for i, l in enumerate(lines)]
+    parsed = spark.createDataFrame(rows, PARSED)
+    found = {r.doc_id for r in site_lines.found_lines(parsed.select("doc_id", F.lit(1).alias("page_no"), "text"), parsed).collect()}
+    assert found == {"d0", "d1", "d2"}
+
+
 def test_site_lines_of_nothing(spark):
     none = spark.createDataFrame([], PARSED)
     assert site_lines.found_lines(spark.createDataFrame([], PAGES), none).count() == 0
@@ -237,15 +255,69 @@ def profiles():
 
 
 def test_crf_learns_its_examples():
-    chain = pair_defects.train()
+    field = pair_defects.train()
     wrong = 0
     for question, parts, tags in pair_defects._EXAMPLES:
-        x = np.array(pair_defects.clause_features(question, list(parts), [t == "f" for t in tags]))
-        path = crf.decode(chain, (x @ chain.emit).tolist(), chain.step.tolist(), chain.start.tolist())
+        path = pair_defects.tag(field, question, list(parts), [t == "f" for t in tags])
         wrong += "".join("arefu"[i] for i in path) != tags
     assert wrong <= 1
 
 
+def test_refusals_in_words_that_were_not_trained_on():
+    field = pair_defects.train()
+    told = ["I have no idea.", "That goes beyond what I am allowed to discuss.", "It is outside the scope of my knowledge.", "You would have to ask someone else about that."]
+    assert not set(told) & {r.strip() for r in pair_defects._REFUSALS}
+    for text in told:
+        assert pair_defects.tag(field, "Which parts wear out?", [text], [False]) == [1], text
+    for text in ("The belt wears out first.", "Nothing wears out before the pump does.", "You should oil the belt, as the sources of dust are many."):
+        assert pair_defects.tag(field, "Which parts wear out?", [text], [False]) == [0], text
+
+
+def test_marginals_match_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    lengths, k = [3, 1, 2], 3
+    em, step, start = rng.standard_normal((6, k)), rng.standard_normal((k, k)), rng.standard_normal(k)
+    starts = np.cumsum(lengths) - lengths
+    held = np.arange(3)[None] < np.array(lengths)[:, None]
+    node, pairs, first = crf._marginals(em, np.where(held, starts[:, None] + np.arange(3)[None], 0), held, step, start)
+    want, follow = np.zeros((6, k)), np.zeros((k, k))
+    for a, n in zip(starts, lengths):
+        ways = {y: np.exp(start[y[0]] + sum(em[a + i, y[i]] for i in range(n)) + sum(step[y[i - 1], y[i]] for i in range(1, n))) for y in itertools.product(range(k), repeat=n)}
+        for y, w in ways.items():
+            for i in range(n):
+                want[a + i, y[i]] += w / sum(ways.values())
+            for i in range(1, n):
+                follow[y[i - 1], y[i]] += w / sum(ways.values())
+    assert np.allclose(node, want) and np.allclose(pairs, follow) and np.allclose(first, want[starts].sum(axis=0))
+
+
+def test_short_complete_answers_are_told_from_cuts():
+    """Held-out: cuts at random are unfinished, a frequent kind of short answer is not."""
+    rng = random.Random(7)
+    nouns = "engine belt pump casing fan valve spring lever wheel gear shaft clutch".split()
+    sentence = lambda: f"The {rng.choice(nouns)} moves the {rng.choice(nouns)} and the {rng.choice(nouns)} before every {rng.choice(nouns)} stops."
+    rows = []
+    for i in range(600):
+        q = f"Which part moves the {rng.choice(nouns)}?"
+        if i % 5 == 0:
+            rows.append((q, [f"Roughly {rng.randrange(100)} to {rng.randrange(100)} percent of all"], [False], False))
+        else:
+            rows.append((q, [sentence() for _ in range(rng.randrange(3, 6))], [False] * 5, False))
+    rows = [(q, p, f[: len(p)], t) for q, p, f, t in rows]
+    field = pair_defects.train(rows[:400])
+    whole = right = cut = 0
+    for q, parts, foreign, _ in rows[400:]:
+        if len(parts) == 1:
+            whole += 1
+            right += pair_defects.tag(field, q, parts, foreign) == [0]
+        else:
+            broken = [*parts[:-1], parts[-1][: rng.randrange(10, len(parts[-1]) - 2)].rstrip()]
+            cut += pair_defects.tag(field, q, broken, foreign)[-1] == 4 and pair_defects.tag(field, q, parts, foreign)[-1] == 0
+    assert right >= 0.95 * whole and cut >= 0.95 * (200 - whole)
+
+
 def test_pair_defects(spark, profiles):
     q = "How do all human beings act towards one another?"
     rows = [
@@ -318,7 +390,9 @@ def test_packing_bounds_and_waste(spark):
     assert placed.agg(F.sum("tokens")).first()[0] == sum(r[1] or 0 for r in rows)
     assert {r.doc_id for r in placed.filter("pieces > 1").collect()} == {9001}
     tight = packing.container_report(packing.pack_items(df, 1000), 1000).first()
-    assert tight.unused < 0.03
+    assert tight.unused < 0.03 and tight.most_segments > 9  # no limit on segments unless one is given
+    told = placed.groupBy("container").agg(F.sum("loss").alias("l"), F.sum("segments").alias("s")).agg(F.max("l").alias("l"), F.max("s").alias("s")).first()
+    assert told.l <= 400 and told.s <= 9
     assert packing.pack_items(df.limit(0), 1000).count() == 0
 
 
@@ -351,6 +425,15 @@ def test_pieces_of_repeated_ids_are_told_apart(spark):
     assert {k: sorted(v) for k, v in items.items()} == want
 
 
+def test_equal_items_spread_over_packs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PACK", 100)
+    monkeypatch.setattr(packing, "EQUAL", 50)
+    placed = packing.pack_items(spark.createDataFrame([(1, 30)] * 2000 + [(2, 40)] * 10, "doc_id bigint, tokens bigint"), 100).cache()
+    packs = placed.select(F.split("container", "-")[0].alias("p"), "doc_id").filter("doc_id = 1").groupBy("p").count().collect()
+    assert len(packs) >= 15 and max(r["count"] for r in packs) < 300
+    assert {(r.doc_id, r.occurrence) for r in placed.collect()} == {(1, i) for i in range(1, 2001)} | {(2, i) for i in range(1, 11)}
+
+
 # --- 7: mixing
 
 
@@ -371,6 +454,57 @@ def test_mix_meets_shares(spark):
     assert mixing.mix_sources(docs.limit(0), goals)[0].count() == 0
 
 
+def test_a_tiny_weight_does_not_gather_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EDGE", 300)
+    rows = [(i, "large" if i % 2 else "rare", 100) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    goals = spark.createDataFrame([("large", 0.999999, 1), ("rare", 0.000001, 1)], "source string, target_share double, max_repeats int")
+    seen = []
+    cut = mixing._first_tokens
+    monkeypatch.setattr(mixing, "_first_tokens", lambda timed, size: seen.append(timed.count()) or cut(timed, size))
+    mix, _ = mixing.mix_sources(docs, goals, budget=500_000)
+    by = {r.source: r.n for r in mix.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert by == {"large": 5000} and seen[0] < 6000  # later documents were never written
+    both, _ = mixing.mix_sources(docs, goals, budget=1_500_000)
+    by = {r.source: r.n for r in both.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert by == {"large": 10_000, "rare": 5000}
+
+
+def test_a_source_that_may_not_repeat_is_not_used(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], 100) for i in range(300)], "doc_id bigint, source string, tokens bigint")
+    goals = spark.createDataFrame([("a", 2.0, 0), ("b", 2.0, None), ("c", 1.0, 3)], "source string, target_share double, max_repeats int")
+    mix, report = mixing.mix_sources(docs, goals)
+    assert {(r.source, r.mixed_tokens, r.most_repeats) for r in report.collect()} == {("a", 0, 0), ("b", 0, 0), ("c", 30_000, 3)}
+    assert {r.source for r in mix.collect()} == {"c"}
+
+
+def test_mix_matches_a_queue_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN", 20)
+    monkeypatch.setattr(mixing, "EDGE", 40)
+    rng = random.Random(6)
+    rows = [(i, rng.choice("aaabbc"), rng.randrange(1, 300)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    goals = {"a": (0.2, 1), "b": (0.5, 3), "c": (0.3, 4)}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(mixing.SEED)), 1).alias("h")).collect()}
+    finish = []
+    for source, (weight, repeats) in goals.items():
+        own = sorted((order[i], i, t) for i, s, t in rows if s == source)
+        at = 0
+        for rep in range(repeats):
+            for _, i, t in own:
+                at += t
+                finish.append((at / weight, source, i, rep, t))
+    for size in (1000, 50_000, 120_000, 10**9):
+        want, sofar = set(), 0
+        for f in sorted(finish):
+            if sofar >= size:
+                break
+            want.add(f[1:4])
+            sofar += f[4]
+        mix, _ = mixing.mix_sources(docs, spark.createDataFrame([(k, *v) for k, v in goals.items()], "source string, target_share double, max_repeats int"), budget=size)
+        assert {(r.source, r.doc_id, r.repeat) for r in mix.collect()} == want
+
+
 # --- 8: languages
 
 
