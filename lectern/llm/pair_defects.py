@@ -283,7 +283,7 @@ def tag(field: Field, question: str, parts: list[str], foreign: list[bool]) -> l
     """The tags of one response."""
     dense, sparse = clause_features(question, parts, foreign, field.ends)
     e = crf.scores(field.chain, crf.Rows(np.array(dense), _number(sparse, field.numbers)))
-    return crf.decode(e.tolist(), field.chain.step.tolist(), field.chain.start.tolist())
+    return crf.decode(e, [len(parts)], field.chain).tolist()
 
 
 def _by_hand() -> list[tuple[str, list[str], list[bool], list[int]]]:
@@ -410,7 +410,6 @@ def tag_pairs(pairs: DataFrame, profiles: hyperlang.Profiles, field: Field) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles, field = shared.value
-        step, start = field.chain.step.tolist(), field.chain.start.tolist()
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 b = whole.iloc[at : at + 2000]
@@ -422,10 +421,11 @@ def tag_pairs(pairs: DataFrame, profiles: hyperlang.Profiles, field: Field) -> D
                         d, w = clause_features(q, ps, f, field.ends)
                         dense += d
                         sparse += _number(w, field.numbers)
-                emissions = crf.scores(field.chain, crf.Rows(np.array(dense), sparse)).tolist() if dense else []
+                sizes = [len(ps) for ps in parts]
+                flat = crf.decode(crf.scores(field.chain, crf.Rows(np.array(dense), sparse)), sizes, field.chain).tolist() if dense else []
                 defects, tags, k = [], [], 0
                 for ps, reason in zip(parts, b["refusal"]):
-                    path = crf.decode(emissions[k : k + len(ps)], step, start) if ps else []
+                    path = flat[k : k + len(ps)]
                     k += len(ps)
                     tags.append([TAGS[t] for t in path])
                     defects.append("refusal" if _told(reason) else "empty" if not ps else _defect(ps, path))

@@ -1,17 +1,21 @@
 """Noise in text from scanned pages (problem 5).
 
-Every line of a page is labelled header or footer (``R``), page number (``P``), body (``B``) or break (``K``) by a linear
-conditional sequence model: weighted layout features of each line (place on the page, how many pages of its document
-have the same wording or a page number at the same distance, decorations, closing marks, the line next to it) and
-weights for neighbouring labels, decoded by Viterbi.  Paragraphs are put together from the body lines.
+Every line of a page is labelled header or footer (``R``), page number (``P``) or body (``B``) by a linear conditional random
+field over layout features: on how many pages of its document the same wording, or a page number at the same distance, stands;
+whether all lines between it and an edge of the page may be running lines too; decorations, closing marks, blank lines and page
+numbers next to it; likeness to the title.  Blank lines are breaks (``K``).  The field is fitted on at most SAMPLE_PAGES pages of the
+collection, the first by a hash: steady repeats at an edge are running lines, steady numbers are page numbers, lines inside a page that
+repeat nowhere are body; a first fit takes pages on which that settles every line, a second one all of them.  Paragraphs are put
+together from the body lines.
 
 Words are judged by counts over the whole collection.  A word that ends a line with a hyphen goes on in the next body line,
 over a page break too; the hyphen is noise unless the hyphenated spelling is what the collection uses.  A word that the
 collection's clean documents do not have, and that one or two typical confusions of a scanner turn into one they do have, is
-misread.
+misread (one confusion only in words under six or over sixty letters; a word counts as the collection's from MIN_COUNT uses on).
 
-Counts of wordings are gathered as rows for each document, and words as rows of their own, so no document, however
-many pages it has, and no vocabulary is gathered in one task but for the final text of a document.
+Counts of wordings are gathered as numbers for each document, and words as rows of their own, so no document, however
+many pages it has, and no vocabulary is gathered in one task but for the final text of a document.  What a word may stand for is
+tried against a filter of the vocabulary's hashes, of bounded size, before anything is shuffled.
 
 Results for odd input: null page texts have no lines; pages without lines or with blank lines give no rows; documents
 without a row in the documents table, or whose ``scanned`` is null, are not scanned; a page delivered twice gives its rows once;
@@ -22,26 +26,36 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cluster import join_side, materialize
+from . import crf
 
-EDGE = 3
 MIN_COUNT = 3
+#: Bound of the sample that the field is fitted on.
+SAMPLE_PAGES = 600
+SEED = 23
+#: Bits of the vocabulary's filter, as powers of two: 16 for each word within these bounds (at most 64 MB).
+FILTER_BITS = (16, 29)
 #: How a scanner misreads: what is seen, and what is printed.
 CONFUSIONS = (
     ("rn", "m"), ("cl", "d"), ("ii", "u"), ("ii", "ü"), ("ri", "n"), ("li", "h"), ("h", "li"), ("ct", "a"), ("vv", "w"), ("c", "e"), ("e", "c"), ("i", "r"),
     ("5", "s"), ("6", "b"), ("6", "é"), ("q", "g"), ("f", "t"), ("l", "i"), ("1", "l"), ("1", "i"), ("i", "l"), ("0", "o"), ("8", "b"), ("9", "g"), ("a", "ä"), ("o", "ö"), ("u", "ü"), ("m", "rn"), ("d", "cl"),
 )
+#: Words after which a hyphen at a line's end stands for a word that is left out ("pre- and post-").
+SUSPENDED = ("and", "or", "und", "oder", "et", "ou", "y", "o", "e", "en", "of")
 HYPHENS = "-‐‑¬­"
 _HYPHEN_SET = frozenset(HYPHENS)
 
-_NUMBER = r"(?:[0-9lIoOSBZ|]{1,4}|[ivxlcdmIVXLCDM1]{1,7})"
+_NUMBER = r"(?:[0-9lIoOSBZ|]{1,7}|[ivxlcdmIVXLCDM1]{1,15})"
 _PAGE_WORDS = r"(?:page|pagc|paqe|p|pp|pg|seite|s|página|pagina|pág|pag|bladzijde|blz)"
-_PAGE_NUMBER = re.compile(rf"^[\W_]*(?:{_PAGE_WORDS}\b[.:]?\s*)?({_NUMBER})(?:\s*(?:/|of|von|de|sur|van)\s*[0-9lIoOSBZ|]{{1,4}})?[\W_]*$", re.I)
+_PAGE_NUMBER = re.compile(rf"^[\W_]*(?:{_PAGE_WORDS}\b[.:]?\s*)?({_NUMBER})(?:\s*(?:/|of|von|de|sur|van)\s*[0-9lIoOSBZ|]{{1,7}})?[\W_]*$", re.I)
 _OUTER = re.compile(rf"^\s*({_NUMBER})\s{{2,}}\S|\S\s{{2,}}({_NUMBER})\s*$")
 _DIGITS = str.maketrans("lI|oOSBZ", "11100582")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
@@ -63,7 +77,7 @@ def page_number_value(token: str) -> tuple[str, int] | None:
             n = _ROMAN[c]
             total += n if n >= last else -n
             last = max(last, n)
-        return ("r", total) if total <= 400 else None
+        return ("r", total)
     digits = token.translate(_DIGITS)
     return ("n", int(digits)) if digits.isdigit() and (any(c.isdigit() for c in token) or token in ("l", "I", "ll")) else None
 
@@ -79,7 +93,7 @@ def wording(line: str) -> str:
 def _printed_number(line: str) -> str | None:
     """The number of a line that is nothing else."""
     text = line.strip()
-    m = _PAGE_NUMBER.match(text) if len(text) <= 30 else None
+    m = _PAGE_NUMBER.match(text)
     return m.group(1) if m else None
 
 
@@ -95,99 +109,122 @@ def _broken_end(line: str):
     return _LEFT.search(line) if line.rstrip()[-1:] in _HYPHEN_SET else None
 
 
-def edge_lines(lines: list[str]) -> list[int]:
-    solid = [i for i, l in enumerate(lines) if l.strip()]
-    return sorted({*solid[:EDGE], *solid[-EDGE:]})
-
-
-def _keys(line: str, page_no: int) -> list[str]:
-    """What may repeat over the pages of a document: the wording, and a page number's distance to the page's place."""
-    out = []
-    text = line.strip()
-    words = wording(_AT_ENDS.sub("", text) if "  " in text or "\t" in text else text)
-    if len(words) >= 4:
-        out.append("t" + words)
-    token = _printed_number(text) or _outer_number(text)
-    if token and (v := page_number_value(token)):
-        out.append(f"{v[0]}{v[1] - page_no}")
-    return out
+LABELS = ("B", "R", "P")
+FEATURES = (
+    "bias", "repeated_run", "repeated_more_run", "repeated_inside", "outer_number", "title", "closed", "sentence", "lower", "heading", "outermost", "second",
+    "deep", "alone", "by_number", "number", "steady", "decorated", "number_closed",
+)
 
 
-#: Weights of the model, features by label; set by hand from the layout of printed pages.
-W_RUNNING = {"repeated": 4.0, "repeated_more": 1.0, "outer_number": 4.0, "title": 3.0, "closed": -3.5, "sentence": -2.5, "lower": -1.5, "heading": -2.0, "outermost": 1.0, "alone": 0.8, "by_number": 1.0, "bias": -3.0}
-W_NUMBER = {"number": 3.0, "distance": 4.0, "decorated": 1.0, "closed": -3.0, "outermost": 1.0, "bias": -4.0}
-_STEP = {("B", "R"): -0.2, ("R", "B"): -0.2, ("B", "P"): -0.2, ("P", "B"): -0.2, ("R", "P"): 0.5, ("P", "R"): 0.5, ("R", "R"): -0.5, ("P", "P"): -3.0}
+def line_keys(text: str, page_no: int) -> tuple[int | None, int | None, str | None, str]:
+    """What may repeat over the pages of a document: the wording and a page number's distance to the page's place, each as a number; the
+    page number, if the line is one; and the wording."""
+    own = wording(text)
+    cut = wording(_AT_ENDS.sub("", text)) if "  " in text or "\t" in text else own
+    digit = any(c.isdigit() or c in "ivxlcdmIVXLCDMOSBZ|" for c in text[:12] + text[-12:])
+    token = _printed_number(text) if digit else None
+    outer = token or (_outer_number(text) if digit else None)
+    value = page_number_value(outer) if outer else None
+    number = token if value and token else None
+    distance = xxhash.xxh64_intdigest(f"{value[0]}{value[1] - page_no}") >> 1 if value else None
+    return xxhash.xxh64_intdigest(cut) >> 1 if len(cut) >= 4 else None, distance, number, own
 
 
-def label_page(lines: list[str], page_no: int, support: dict[str, int], title: str | None) -> str:
-    """One label for each line of a page; ``support`` counts the pages of the document that have a key at an edge."""
+def page_features(lines: list[str], page_no: int, support: dict[int, int], title: str | None) -> tuple[list[int], list[list[float]], list[str | None]]:
+    """Of the lines that are not blank: their places, features and what the collection itself says of them (a label, or null where
+    it leaves it open).  ``support`` counts the pages of the document that have a key."""
     solid = [i for i, l in enumerate(lines) if l.strip()]
-    edges = {*solid[:EDGE], *solid[-EDGE:]}
-    outer = {solid[0], solid[-1]} if solid else set()
-    beside = {i: {*solid[max(0, at - 1) : at], *solid[at + 1 : at + 2]} for at, i in enumerate(solid) if i in edges}
-    numbers = {i for i in edges if (token := _printed_number(lines[i])) and page_number_value(token)}
+    n = len(solid)
+    texts = [lines[i].strip() for i in solid]
+    keys = [line_keys(t, page_no) for t in texts]
+    repeats = [support.get(k[0], 1) if k[0] is not None else 1 for k in keys]
+    steady = [(support.get(k[1], 1) if k[1] is not None else 1) >= 2 for k in keys]
+    numbers = [k[2] is not None for k in keys]
+    may = [r >= 2 or m or s for r, m, s in zip(repeats, numbers, steady)]
+    top = next((i for i, m in enumerate(may) if not m), n)
+    bottom = next((i for i, m in enumerate(reversed(may)) if not m), n)
     titled = wording(title or "")
-    scores: list[dict[str, float]] = []
-    for i, line in enumerate(lines):
-        text = line.strip()
-        scores.append({"B": 0.0} if text else {"K": 0.0})
-        if i not in edges:
-            continue
-        keys = _keys(line, page_no)
-        repeats = max([support.get(k, 1) for k in keys if k[0] == "t"], default=1)
-        steady = max([support.get(k, 1) for k in keys if k[0] != "t"], default=1) >= 2
-        if i in numbers:
-            f = W_NUMBER
-            scores[i]["P"] = (
-                f["bias"]
-                + f["number"]
-                + f["distance"] * steady
-                + f["decorated"] * (not text[0].isdigit() or not text[-1].isalnum())
-                + f["closed"] * (text[-1] in ".,;")
-                + f["outermost"] * (i in outer or bool(beside[i] & outer))
-            )
+    rows, says = [], []
+    for j, text in enumerate(texts):
+        i, r = solid[j], repeats[j]
+        run = j <= top or j >= n - 1 - bottom
+        depth = min(j, n - 1 - j)
+        own = keys[j][3]
+        closed = text[-1] in ".!?;,…" or _broken_end(text) is not None
+        sentence = bool(_INNER_END.search(text))
+        outer = steady[j] and not numbers[j]
+        alone = i == 0 or i + 1 == len(lines) or not lines[i - 1].strip() or not lines[i + 1].strip()
+        if numbers[j]:
+            rows.append([1.0, *[0.0] * 9, float(depth == 0), float(depth == 1), float(depth > 1), 0.0, 0.0, 1.0, float(steady[j]), float(not text[0].isdigit() or not text[-1].isalnum()), float(text[-1] in ".,;")])
+            closed = text[-1] in ".,;"
+            says.append("P" if steady[j] and run and not closed else "B" if closed and support.get(keys[j][1], 1) < 3 else None)
             continue
-        own = wording(text)
-        f = W_RUNNING
         like_title = len(titled) >= 8 and len(own) >= 8 and (titled.startswith(own) or own.startswith(titled))
-        scores[i]["R"] = (
-            f["bias"]
-            + f["repeated"] * (repeats >= 2)
-            + f["repeated_more"] * (repeats >= 3)
-            + f["outer_number"] * (steady and _outer_number(line) is not None)
-            + f["title"] * like_title
-            + f["closed"] * (text[-1] in ".!?;,…" or _broken_end(text) is not None)
-            + f["sentence"] * bool(_INNER_END.search(text))
-            + f["lower"] * (text[0].islower() and repeats < 3)
-            + f["heading"] * (not steady and bool(_HEADING.match(line)))
-            + f["outermost"] * (i in outer)
-            + f["alone"] * (i == 0 or i + 1 == len(lines) or not lines[i - 1].strip() or not lines[i + 1].strip())
-            + f["by_number"] * bool(beside[i] & numbers)
-        )
-    return _viterbi(scores)
-
-
-def _viterbi(scores: list[dict[str, float]]) -> str:
-    """The best labels in a row; each line names the labels that it can have."""
-    if not scores:
-        return ""
-    best, back = dict(scores[0]), []
-    for options in scores[1:]:
-        if len(options) == 1 and len(best) == 1:
-            (label, gain), (last, sofar) = *options.items(), *best.items()
-            best = {label: sofar + _STEP.get((last, label), 0.0) + gain}
-            back.append({label: last})
-            continue
-        fresh, links = {}, {}
-        for label, gain in options.items():
-            last = max(best, key=lambda k: best[k] + _STEP.get((k, label), 0.0))
-            fresh[label], links[label] = best[last] + _STEP.get((last, label), 0.0) + gain, last
-        best = fresh
-        back.append(links)
-    path = [max(best, key=best.get)]
-    for links in reversed(back):
-        path.append(links[path[-1]])
-    return "".join(reversed(path))
+        beside = (j > 0 and numbers[j - 1] and depth <= 1) or (j + 1 < n and numbers[j + 1] and depth <= 1)
+        rows.append(
+            [
+                1.0, float(run and r >= 2), float(run and r >= 3), float(not run and r >= 2), float(outer), float(like_title), float(closed), float(sentence),
+                float(text[0].islower() and r < 3), float(not steady[j] and bool(_HEADING.match(lines[i]))), float(depth == 0), float(depth == 1), float(depth > 1),
+                float(alone), float(beside), 0.0, 0.0, 0.0, 0.0,
+            ]
+        )
+        if run and (r >= 3 and not closed or outer and own):
+            says.append("R")
+        elif r == 1 and not outer and not like_title and (depth > 1 or closed or sentence or text[0].islower()):
+            says.append("B")
+        else:
+            says.append(None)
+    return solid, rows, says
+
+
+#: Lines as the model expects them where a collection has too few pages to say: features that hold, and the label.
+_BY_HAND = (
+    ("repeated_run repeated_more_run outermost alone", "R"), ("repeated_run outermost alone", "R"), ("repeated_run repeated_more_run second", "R"), ("outer_number outermost alone", "R"),
+    ("outer_number repeated_run outermost", "R"), ("title outermost alone", "R"), ("outermost closed", "B"), ("outermost lower closed", "B"), ("outermost heading alone", "B"), ("outermost", "B"),
+    ("second closed", "B"), ("second", "B"), ("deep", "B"), ("deep closed", "B"), ("deep repeated_inside", "B"), ("deep repeated_inside closed", "B"), ("repeated_run closed outermost", "B"), ("repeated_run closed sentence outermost", "B"),
+    ("number steady outermost", "P"), ("number steady decorated outermost", "P"), ("number steady second", "P"), ("number deep", "B"), ("number number_closed deep", "B"), ("number outermost decorated", "P"), ("by_number repeated_run second", "R"),
+)
+
+
+def fit_lines(pages: list[tuple[list[list[float]], list[str | None]]]) -> crf.Chain:
+    """The field, from pages as :func:`page_features` gives them."""
+    hand = [([[float(f == "bias" or f in names.split()) for f in FEATURES]], [label]) for names, label in _BY_HAND]
+    # the examples stand for single lines and weigh little against the pages
+    pages = [(rows, says) for rows, says in pages if rows]
+    sure = [*hand, *((rows, says) for rows, says in pages if None not in says)]
+
+    def fit(sequences: list, begin: crf.Chain | None = None, rounds: int = 100) -> crf.Chain:
+        rows = np.array([r for rows, _ in sequences for r in rows])
+        tags = [LABELS.index(l) for _, says in sequences for l in says]
+        return crf.fit(crf.Rows(rows, [[] for _ in rows]), [len(s) for _, s in sequences], tags, LABELS, 1, rounds, begin=begin)
+
+    first = fit(sure)
+    rest = [(rows, says) for rows, says in pages if None in says]
+    if not rest:
+        return first
+    lengths = [len(s) for _, s in rest]
+    guess = crf.decode(crf.scores(first, crf.Rows(np.array([r for rows, _ in rest for r in rows]), [[] for _ in range(sum(lengths))])), lengths, first)
+    told, k = [], 0
+    for rows, says in rest:
+        told.append((rows, [l or LABELS[guess[k + i]] for i, l in enumerate(says)]))
+        k += len(says)
+    return fit([*sure, *told], first, 60)
+
+
+def label_pages(chain: crf.Chain, pages: list[tuple[list[str], int, dict[int, int], str | None]]) -> list[str]:
+    """One label for each line of each page."""
+    found = [page_features(*p) for p in pages]
+    rows = [r for _, rows, _ in found for r in rows]
+    lengths = [len(solid) for solid, _, _ in found]
+    tags = crf.decode(crf.scores(chain, crf.Rows(np.array(rows), [[] for _ in rows])), lengths, chain) if rows else []
+    out, k = [], 0
+    for (lines, *_), (solid, _, _) in zip(pages, found):
+        labels = ["K"] * len(lines)
+        for i in solid:
+            labels[i] = LABELS[tags[k]]
+            k += 1
+        out.append("".join(labels))
+    return out
 
 
 def misreadings(word: str, steps: int = 2) -> list[tuple[str, int]]:
@@ -218,27 +255,33 @@ def scanned_pages(pages: DataFrame, parsed: DataFrame) -> DataFrame:
 def labelled_pages(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """``doc_id, page_no, text, labels, joins, skips, head_line, head_word``: a label for each line, the words that go on in a
     later line, and the page's first body word, for a word broken at the end of the page before."""
-    scanned = materialize(scanned_pages(pages, parsed))
+    spark = pages.sparkSession
+    scanned = materialize(scanned_pages(pages, parsed).withColumn("doc", F.xxhash64("doc_id")))
 
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc, no, text in zip(b["doc_id"], b["page_no"], b["text"]):
-                lines = text.split("\n")
-                rows += [(doc, no, key) for key in {k for i in edge_lines(lines) for k in _keys(lines[i], int(no))}]
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "key"])
-
-    keys = materialize(scanned.select("doc_id", "page_no", "text").mapInPandas(edges, "doc_id string, page_no int, key string"))
-    counts = keys.groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
-    known = keys.join(counts, ["doc_id", "key"]).groupBy("doc_id", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("support"))
-    both = scanned.join(known, ["doc_id", "page_no"], "left")
+            keys = [sorted({k for l in text.split("\n") if (t := l.strip()) for k in line_keys(t, int(no))[:2] if k is not None}) for no, text in zip(b["page_no"], b["text"])]
+            yield pd.DataFrame({"doc": b["doc"], "page_no": b["page_no"], "keys": keys})
+
+    keys = materialize(scanned.select("doc", "page_no", "text").mapInPandas(read, "doc bigint, page_no int, keys array<bigint>"))
+    each = keys.select("doc", "page_no", F.explode("keys").alias("key"))
+    counts = each.groupBy("doc", "key").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    known = each.join(counts, ["doc", "key"]).groupBy("doc", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("support"))
+    known = materialize(known)
+    order = F.xxhash64("doc", "page_no", F.lit(SEED))
+    some = scanned.orderBy(order, "doc_id", "page_no").limit(SAMPLE_PAGES).join(known, ["doc", "page_no"], "left").select("doc_id", "page_no", "text", "title", "support").toPandas()
+    page = lambda no, text, title, support: (text.split("\n"), int(no), dict(support) if support is not None else {}, title)
+    some = some.sort_values(["doc_id", "page_no"])
+    model = fit_lines([page_features(*page(*r))[1:] for r in zip(some["page_no"], some["text"], some["title"], some["support"])])
+    shared = spark.sparkContext.broadcast(model)
+    both = scanned.join(known, ["doc", "page_no"], "left").select("doc_id", "page_no", "text", "title", "support")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, no, text, title, support in zip(b["doc_id"], b["page_no"], b["text"], b["title"], b["support"]):
+            every = label_pages(shared.value, [page(*r) for r in zip(b["page_no"], b["text"], b["title"], b["support"])])
+            for doc, no, text, labels in zip(b["doc_id"], b["page_no"], b["text"], every):
                 lines = text.split("\n")
-                labels = label_page(lines, int(no), dict(support) if support is not None else {}, title)
                 body = [i for i, l in enumerate(labels) if l == "B"]
                 skips, joins = ["0"] * len(lines), []
                 for j, i in enumerate(body):
@@ -268,16 +311,50 @@ def clean_vocabulary(parsed: DataFrame) -> DataFrame:
     return words.select(F.explode(parts).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
 
 
-def _readings(items: DataFrame, vocabulary: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class WordFilter:
+    """Two bits for each word of a vocabulary: words without both are surely not in it."""
+
+    bits: int
+    blocks: dict[int, bytes]
+
+    def __contains__(self, word: str) -> bool:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        return self._set(h & (self.bits - 1)) and self._set((h >> 32) & (self.bits - 1))
+
+    def _set(self, at: int) -> bool:
+        block = self.blocks.get(at >> 16)
+        return block is not None and bool(block[(at & 0xFFFF) >> 3] >> (at & 7) & 1)
+
+
+def word_filter(vocabulary: DataFrame) -> WordFilter:
+    """The filter of a materialized vocabulary; the driver gets at most 2 ** FILTER_BITS[1] bits, whatever the number of words."""
+    bits = 1 << min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * vocabulary.count()).bit_length()))
+    h = F.xxhash64("word")
+    places = vocabulary.select(F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits)))).alias("at")).distinct()
+
+    def join(b: pd.DataFrame) -> pd.DataFrame:
+        field = np.zeros(1 << 16, dtype=np.uint8)
+        field[(b["at"] & 0xFFFF).to_numpy()] = 1
+        return pd.DataFrame({"block": [int(b["block"].iloc[0])], "bits": [np.packbits(field, bitorder="little").tobytes()]})
+
+    blocks = places.select(F.shiftright("at", 16).cast("int").alias("block"), "at").groupBy("block").applyInPandas(join, "block int, bits binary").toPandas()
+    return WordFilter(bits, dict(zip(blocks["block"].tolist(), blocks["bits"].tolist())))
+
+
+def _readings(items: DataFrame, vocabulary: DataFrame, known: WordFilter) -> DataFrame:
     """``key, role, steps, n, reading``: of every (key, role, word) the reading with fewest confusions that the
     vocabulary has, the most frequent of those."""
+    shared = items.sparkSession.sparkContext.broadcast(known)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
             rows = [
                 (k, role, c, s)
                 for k, role, w in zip(b["key"], b["role"], b["word"])
-                for c, s in (misreadings(w, 1 if role == "compound" or len(w) < 6 else 2) if role in ("word", "joined", "compound") and len(w) <= 40 else [(w, 0)])
+                for c, s in (misreadings(w, 1 if role == "compound" or not 6 <= len(w) <= 60 else 2) if role in ("word", "joined", "compound") else [(w, 0)])
+                if c in known
             ]
             yield pd.DataFrame(rows, columns=["key", "role", "word", "steps"])
 
@@ -297,7 +374,7 @@ def _line_words(labelled: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_no", "line_no", F.explode(F.slice("words", first, left)).alias("word"))
 
 
-def broken_words(labelled: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def broken_words(labelled: DataFrame, vocabulary: DataFrame, known: WordFilter) -> DataFrame:
     """Every word that ends a line with a hyphen: ``doc_id, page_no, line_no, to_page, to_line, left, right, noise, reading, steps``."""
     ends = labelled.select("doc_id", "page_no", F.explode("joins").alias("j")).select("doc_id", "page_no", "j.*")
     heads = labelled.filter(F.col("head_line") >= 0).select("doc_id", (F.col("page_no") - 1).alias("page_no"), "head_line", "head_word")
@@ -318,15 +395,15 @@ def broken_words(labelled: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.struct(F.lit("left").alias("role"), last.alias("word")),
         F.struct(F.lit("right").alias("role"), first.alias("word")),
     )
-    found = _readings(pairs.select("key", F.explode(roles).alias("r")).select("key", "r.role", "r.word"), vocabulary)
+    found = _readings(pairs.select("key", F.explode(roles).alias("r")).select("key", "r.role", "r.word"), vocabulary, known)
     of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
-    known = found.groupBy("key").agg(
+    told = found.groupBy("key").agg(
         of("joined", "steps").alias("steps"), of("joined", "n").alias("joined_n"), of("joined", "reading").alias("reading"),
         F.greatest(of("compound", "n"), of("compound2", "n")).alias("compound_n"), of("left", "n").alias("left_n"), of("right", "n").alias("right_n"),
     )
-    judged = ends.withColumn("key", key).join(known, "key", "left")
+    judged = ends.withColumn("key", key).join(told, "key", "left")
     exact = (F.col("steps") == 0) & (F.col("joined_n") >= F.coalesce("compound_n", F.lit(0)))
-    suspended = F.col("right").isin("and", "or", "und", "oder", "et", "ou", "y", "o", "e", "en", "of")
+    suspended = F.col("right").isin(*SUSPENDED)
     noise = (
         F.when(F.col("mark").isin("¬", "­"), F.lit(True))
         .when(exact, F.lit(True))
@@ -337,10 +414,10 @@ def broken_words(labelled: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return judged.withColumn("noise", noise).drop("key", "joined_n", "compound_n", "left_n", "right_n")
 
 
-def word_fixes(labelled: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def word_fixes(labelled: DataFrame, vocabulary: DataFrame, known: WordFilter) -> DataFrame:
     """``word, reading`` of the words that the vocabulary lacks but for a misreading, each once; not words of figures only."""
     words = _line_words(labelled).select("word").filter(F.rlike("word", F.lit(r"\p{L}"))).distinct().join(vocabulary, "word", "left_anti")
-    found = _readings(words.select(F.col("word").alias("key"), F.lit("word").alias("role"), "word"), vocabulary)
+    found = _readings(words.select(F.col("word").alias("key"), F.lit("word").alias("role"), "word"), vocabulary, known)
     figures = words.filter(F.rlike("word", F.lit(r"^[lo]*\d[\dlo]*$|^\d+[lo]+\d*$"))).select("word", F.translate("word", "lo", "10").alias("reading"))
     fixes = found.select(F.col("key").alias("word"), "reading")
     return fixes.unionByName(figures.join(fixes, "word", "left_anti"))
@@ -350,12 +427,13 @@ def noisy_lines(pages: DataFrame, parsed: DataFrame, labelled: DataFrame | None
     """``doc_id, page_no, line_no, noise`` of every noisy line of scanned documents."""
     labelled = labelled_pages(pages, parsed) if labelled is None else labelled
     vocabulary = materialize(clean_vocabulary(parsed))
+    known = word_filter(vocabulary)
     letters = F.split("labels", "")
     kinds = labelled.select("doc_id", "page_no", F.posexplode(letters).alias("line_no", "label")).filter(F.col("label").isin("R", "P"))
     edges = kinds.select("doc_id", "page_no", "line_no", F.when(F.col("label") == "R", "running").otherwise("page_number").alias("noise"))
-    broken = materialize(broken_words(labelled, vocabulary).filter("noise"))
+    broken = materialize(broken_words(labelled, vocabulary, known).filter("noise"))
     hyphens = broken.select("doc_id", "page_no", "line_no", F.lit("hyphen").alias("noise"))
-    misread = _line_words(labelled).join(join_side(word_fixes(labelled, vocabulary)), "word").select("doc_id", "page_no", "line_no")
+    misread = _line_words(labelled).join(join_side(word_fixes(labelled, vocabulary, known)), "word").select("doc_id", "page_no", "line_no")
     # a broken word is misread where its reading departs from what the line shows
     torn = broken.filter(F.col("steps") > 0)
     here = F.startswith("reading", F.element_at(F.split("left", "-"), -1))
@@ -368,8 +446,9 @@ def repaired_documents(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     """``doc_id, text, paragraphs``: body lines as paragraphs, words joined and misread words spelled as the collection does."""
     labelled = labelled_pages(pages, parsed)
     vocabulary = materialize(clean_vocabulary(parsed))
-    fixes = join_side(word_fixes(labelled, vocabulary))
-    broken = materialize(broken_words(labelled, vocabulary).filter("noise"))
+    known = word_filter(vocabulary)
+    fixes = join_side(word_fixes(labelled, vocabulary, known))
+    broken = materialize(broken_words(labelled, vocabulary, known).filter("noise"))
     changes = _line_words(labelled).join(fixes, "word").groupBy("doc_id", "page_no", "line_no").agg(F.collect_set(F.struct("word", "reading")).alias("fixes"))
     left = broken.select("doc_id", "page_no", "line_no", F.coalesce("reading", F.concat("left", "right")).alias("whole"), F.lit(True).alias("joined"))
     taken = broken.select("doc_id", F.col("to_page").alias("page_no"), F.col("to_line").alias("line_no"), F.lit(True).alias("taken")).distinct()
@@ -418,11 +497,14 @@ def assemble_paragraphs(lines: list) -> str:
                 start = m.group(1).rpartition("-")[0]
                 seen = m.group(1).rpartition("-")[2]
                 body = body[: m.start()] + (start + "-" if start else "") + _as_printed(seen, str(l["whole"]))
-        glue = "" if l["taken"] else " "
+        # a hyphen that belongs to its word goes on without a space, one that stands for a left-out word does not
+        first = _RIGHT.match(body)
+        held = bool(out) and _broken_end(out[-1]) is not None and first is not None and first.group(1).lower() not in SUSPENDED
+        glue = "" if l["taken"] or held else " "
         indent = line[:2].isspace()
         # after a blank line text goes on in the same paragraph only if no sentence had ended (a page break)
         if out and (not fresh or not out[-1].endswith((".", "!", "?", "…", ":"))) and not heading and not (indent and out[-1].endswith((".", "!", "?"))) and not out[-1].endswith("\u0000"):
-            out[-1] = out[-1] + (glue if not (glue == "" and body[:1].isalnum()) else "") + body
+            out[-1] = out[-1] + glue + body
         else:
             out.append(body)
         if heading:

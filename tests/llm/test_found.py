@@ -366,7 +366,63 @@ def test_repaired_book(spark):
     pages, parsed = _book()
     text = scan_repair.repaired_documents(spark.createDataFrame(pages, PAGES), spark.createDataFrame(parsed, PARSED)).collect()
     assert len(text) == 1 and "Printing" not in text[0].text and "lib-" not in text[0].text and "modcrn" not in text[0].text
-    assert text[0].text.count("the library of the modern printer") == 4 and "well- known" not in text[0].text or "well-" in text[0].text
+    assert text[0].text.count("the library of the modern printer") == 4 and text[0].text.count("some well-known records.") == 4
+
+
+def _printed(rng, paragraphs, head_lines, per_page=14, width=44):
+    """Pages as a scanner sees a text: headers, numbers, words broken over lines and pages, and misread words."""
+    lines = []
+    for p in paragraphs:
+        left, line = p.split(" "), ""
+        while left:
+            w = left.pop(0)
+            if not line:
+                line = w
+            elif len(line) + 1 + len(w) <= width:
+                line += " " + w
+            elif len(w) >= 8 and "-" not in w and len(line) + 6 <= width + 4 and w.isalpha():
+                lines.append(f"{line} {w[:4]}-")
+                line = w[4:]
+            else:
+                lines.append(line)
+                line = w
+        lines += [line, ""]
+    pages, at = [], 0
+    while at < len(lines):
+        body = lines[at : at + per_page]
+        at += per_page
+        while body and not body[-1]:
+            body.pop()
+        body = [l.replace("measure", "mcasure") if rng.random() < 0.5 else l for l in body]
+        pages.append("\n".join([*head_lines, "", *body, "", f"- {len(pages) + 5} -"]))
+    return pages
+
+
+def test_planted_pages_come_out_as_they_were_printed(spark):
+    rng = random.Random(9)
+    words = "careful printer explains measure through quiet libraries recording shelves everywhere although between standard machines another reading paper morning evening glasshouse".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(6, 14))).capitalize() + "."
+    paragraphs = [" ".join(sentence() for _ in range(rng.randrange(3, 7))) for _ in range(24)]
+    # a header of five lines, deeper than any fixed number of edge lines
+    head = ["HANDBOOK OF PRINTING", "volume the second", "by a Society of Printers", "published at the old press", "third and improved printing"]
+    pages = [("s", i + 1, t) for i, t in enumerate(_printed(rng, paragraphs, head))]
+    clean = " ".join(sentence() for _ in range(300))
+    parsed = [("s", "x", None, True, "\n\n".join(p[2] for p in pages)), ("c", "x", None, False, clean)]
+    frames = spark.createDataFrame(pages, PAGES), spark.createDataFrame(parsed, PARSED)
+    found = defaultdict(set)
+    for r in scan_repair.noisy_lines(*frames).collect():
+        found[r.noise].add((r.page_no, r.line_no))
+    assert found["running"] == {(p[1], i) for p in pages for i in range(5)}
+    assert found["page_number"] == {(p[1], p[2].count("\n")) for p in pages}
+    assert found["misread"] == {(p[1], i) for p in pages for i, l in enumerate(p[2].split("\n")) if "mcasure" in l.lower()}
+    text = scan_repair.repaired_documents(*frames).first().text
+    assert text.split("\n\n") == paragraphs
+
+
+def test_vocabulary_filter_knows_its_words(spark):
+    words = [f"word{i}" for i in range(3000)] + ["größe", "𝑞"]
+    known = scan_repair.word_filter(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert all(w in known for w in words) and sum(f"other{i}" in known for i in range(2000)) < 100
 
 
 def test_scans_of_nothing(spark):
