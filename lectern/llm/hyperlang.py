@@ -8,7 +8,7 @@ of the trigram's dot product with the language: :func:`train` computes those onc
 ``SYMBOLS ** 3`` rows, and a text costs one table row for each character.  The length of the text's own
 bundle is the same factor for all languages and does not change their order; confidences are ratios of
 cosines, in which it cancels.  Trigrams that no sample has are orthogonal to every language but for noise and count
-as nothing.
+as nothing; a text with many of them is in none of the languages.
 """
 
 from __future__ import annotations
@@ -85,6 +85,8 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
 class Profiles:
     languages: tuple[str, ...]
     table: np.ndarray  # SYMBOLS ** 3 rows, one column for each language
+    known: np.ndarray  # whether a sample has the trigram
+    coverage: float  # share of the trigrams of further texts that the samples should have (Good and Turing's estimate)
 
 
 def train(samples: dict[str, list[str]]) -> Profiles:
@@ -94,12 +96,14 @@ def train(samples: dict[str, list[str]]) -> Profiles:
     languages share is taken off, so that cosines compare what tells them apart."""
     languages = tuple(sorted(k for k, v in samples.items() if any(v)))
     counts = np.zeros((len(languages), SYMBOLS**3))
+    written = np.zeros(SYMBOLS**3)
     for i, lang in enumerate(languages):
         for text in samples[lang]:
             sym = symbols(points(text or ""))
             for form in (sym, _PLAIN[sym]):
                 counts[i] += np.bincount(trigram_codes(form), minlength=SYMBOLS**3)
-    counts[:, 0] = 0
+            written += np.bincount(trigram_codes(sym), minlength=SYMBOLS**3)
+    counts[:, 0] = written[0] = 0
     seen = np.flatnonzero(counts.sum(axis=0))
     table = np.zeros((SYMBOLS**3, len(languages)), dtype=np.float32)
     if len(seen):
@@ -109,7 +113,8 @@ def train(samples: dict[str, list[str]]) -> Profiles:
         proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
         proto -= proto.mean(axis=0, keepdims=True)
         table[seen] = vectors @ proto.T / np.sqrt(DIM)
-    return Profiles(languages, table)
+    coverage = 1 - np.count_nonzero(written == 1) / max(written.sum(), 1)
+    return Profiles(languages, table, counts.sum(axis=0) > 0, float(coverage))
 
 
 def score_spans(profiles: Profiles, sym: np.ndarray, starts: np.ndarray) -> np.ndarray:

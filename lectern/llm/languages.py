@@ -1,6 +1,7 @@
 """Language of every document and of every passage (problem 8).
 
-Results for odd input: a null or empty text, and one without letters, has no language (``und``, confidence 0) and holds
+Results for odd input: a null or empty text, one without letters, and one in a language that has no prototype (too many of its
+trigrams stand in no sample), has no language (``und``, confidence 0) and holds
 no passage with letters; repeated documents each get their own rows; an empty table gives no rows; columns of
 other names are carried by the caller, as the operators only take the columns named to them.
 """
@@ -26,6 +27,8 @@ SAMPLE_CHARS = (200, 4000)
 #: A segment with fewer letters, or with a smaller lead for each of its characters, follows its document.
 MIN_LETTERS = 12
 MIN_LEAD = 0.0015
+#: Share of the trigrams that a text, and a sentence, of a known language must have in common with the samples, of what they should have.
+KNOWN_TEXT, KNOWN_SENTENCE = 0.8, 0.6
 BLOCK = 400_000
 
 _NAMES = {
@@ -57,16 +60,14 @@ def label_language(column):
 def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> hyperlang.Profiles:
     """Prototypes from at most SAMPLE_DOCUMENTS labelled documents of each language, the first by a hash of
     their ids; wrong labels among them are outweighed in the bundle."""
-    labelled = docs.select(F.col(id_col).alias("id"), label_language(F.col(label_col)).alias("code"), F.length(text_col).alias("n"))
+    # ids and labels give twice as many as are wanted, their texts are read in one pass, and the first ones of fitting length stay
+    labelled = docs.select(F.col(id_col).alias("id"), label_language(F.col(label_col)).alias("code")).filter(F.col("code").isNotNull())
     order = Window.partitionBy("code").orderBy(F.xxhash64("id"), "id")
-    picked = (
-        labelled.filter(F.col("code").isNotNull() & F.col("n").between(*SAMPLE_CHARS))
-        .withColumn("at", F.row_number().over(order))
-        .filter(F.col("at") <= SAMPLE_DOCUMENTS)
-        .select("id", "code")
-    )
+    picked = labelled.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 2 * SAMPLE_DOCUMENTS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text").between(*SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(picked), "id").select("code", "text").limit(SAMPLE_DOCUMENTS * len(LANGUAGES) * 4).collect()
+    # repeated ids may repeat a text: the bound holds for them too
+    first = texts.join(F.broadcast(picked), "id").withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("at", "text"))).filter(F.col("nth") <= SAMPLE_DOCUMENTS)
+    rows = first.select("code", "text").collect()
     samples: dict[str, list[str]] = {code: [] for code in LANGUAGES}
     for r in rows:
         samples[r.code].append(r.text)
@@ -113,6 +114,11 @@ class Analysis:
         reference = (cp[first] == 91) & digit[first + 1]
         self.full = (np.add.reduceat(ends.astype(np.int32), starts) > 0) & (self.letters >= MIN_LETTERS) & ~reference
         self.profiles = profiles
+        codes = hyperlang.trigram_codes(sym)
+        told, some = np.add.reduceat((profiles.known[codes]).astype(np.int32), starts), np.add.reduceat((codes > 0).astype(np.int32), starts)
+        self.foreign = told < KNOWN_SENTENCE * profiles.coverage * some
+        n = len(self.doc_start)
+        self.outside = np.bincount(self.doc, weights=told, minlength=n) < KNOWN_TEXT * profiles.coverage * np.bincount(self.doc, weights=some, minlength=n)
 
     @staticmethod
     def _scores(profiles, sym, starts):
@@ -135,10 +141,10 @@ class Analysis:
         totals = np.zeros((n, k))
         np.add.at(totals, self.doc, self.scores)
         letters = np.bincount(self.doc, weights=self.letters, minlength=n)
-        main = np.where((letters > 0) & (totals.max(axis=1) > 0), totals.argmax(axis=1), -1)
+        main = np.where((letters > 0) & (totals.max(axis=1) > 0) & ~self.outside, totals.argmax(axis=1), -1)
         best = self.scores.argmax(axis=1)
         top = np.partition(self.scores, -2, axis=1)[:, -2:] if k > 1 else np.repeat(self.scores, 2, axis=1)
-        sure = (self.letters >= MIN_LETTERS) & (np.abs(top[:, 1] - top[:, 0]) >= MIN_LEAD * np.maximum(self.letters, 1))
+        sure = ~self.foreign & ~self.outside[self.doc] & (self.letters >= MIN_LETTERS) & (np.abs(top[:, 1] - top[:, 0]) >= MIN_LEAD * np.maximum(self.letters, 1))
         lang = np.where(sure, best, main[self.doc])
         count = np.zeros((n, k), dtype=np.int64)
         good = self.full & sure

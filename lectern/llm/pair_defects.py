@@ -220,11 +220,11 @@ _REFUSALS = tuple(
     This lies outside the scope of the book. | It is not within my knowledge. | That is outside of what I know. | It is not something I can speak about. | Please ask somebody else. | You should ask an expert about this. | You will have to look elsewhere for that.
     Nobody can say. | The sources are silent on this. | The text says nothing about it. | There is no information about that here. | The material does not cover it. | I was unable to find anything on this. | My apologies, but I have to pass on this one.
     As a language model I cannot comment on that. | I would rather not say. | That question cannot be answered from these pages. | No passage answers the question. | I must decline. | It is impossible to tell from the text. | Sorry, I can't do that.
-    Das weiß ich nicht. | Dazu kann ich nichts sagen. | Dazu habe ich keine Informationen. | Die Quellen schweigen dazu. | Darüber darf ich nicht sprechen. | Bitte fragen Sie jemand anderen. | Das liegt außerhalb meines Wissens. | Tut mir leid, da kann ich nicht helfen.
-    Je ne sais pas. | Je ne peux rien dire à ce sujet. | Je n'ai aucune information là-dessus. | Les sources n'en disent rien. | Cela dépasse mes connaissances. | Veuillez demander à quelqu'un d'autre. | Je préfère ne pas répondre. | Désolé, je ne peux pas vous aider.
-    No lo sé. | No tengo información sobre eso. | No puedo decir nada al respecto. | Las fuentes no dicen nada sobre ello. | Eso está fuera de mi conocimiento. | Pregunte a otra persona. | Prefiero no responder. | Lo siento, no puedo contestar.
-    Não sei. | Não tenho informações sobre isso. | Não posso dizer nada a respeito. | As fontes nada dizem sobre isso. | Isso está fora do meu conhecimento. | Pergunte a outra pessoa. | Prefiro não responder. | Desculpe, não posso ajudar.
-    Dat weet ik niet. | Daar kan ik niets over zeggen. | Ik heb daar geen informatie over. | De bronnen zeggen er niets over. | Dat valt buiten mijn kennis. | Vraag het aan iemand anders. | Ik geef daar liever geen antwoord op. | Sorry, daar kan ik niet mee helpen.""".replace("\n", "|").split("|")
+    Das weiß ich nicht. | Dazu kann ich nichts sagen. | Dazu habe ich keine Informationen. | Die Quellen schweigen dazu. | Darüber darf ich nicht sprechen. | Bitte fragen Sie jemand anderen. | Das liegt außerhalb meines Wissens. | Tut mir leid, da kann ich nicht helfen. | Kein Kapitel gibt darüber Auskunft. | Das Buch sagt dazu nichts. | Keine Textstelle beantwortet die Frage. | Ich möchte dazu nichts vermuten. | Darauf gibt der Text keine Antwort.
+    Je ne sais pas. | Je ne peux rien dire à ce sujet. | Je n'ai aucune information là-dessus. | Les sources n'en disent rien. | Cela dépasse mes connaissances. | Veuillez demander à quelqu'un d'autre. | Je préfère ne pas répondre. | Désolé, je ne peux pas vous aider. | Aucun chapitre ne permet de le dire. | Le livre ne dit rien sur ce point. | Aucune page ne répond à la question. | Le texte ne permet pas de répondre. | Il m'est impossible de répondre.
+    No lo sé. | No tengo información sobre eso. | No puedo decir nada al respecto. | Las fuentes no dicen nada sobre ello. | Eso está fuera de mi conocimiento. | Pregunte a otra persona. | Prefiero no responder. | Lo siento, no puedo contestar. | Ningún capítulo permite decirlo. | El libro no dice nada sobre este punto. | Ninguna parte del texto permite responder. | El texto no contesta la pregunta. | Me es imposible contestar.
+    Não sei. | Não tenho informações sobre isso. | Não posso dizer nada a respeito. | As fontes nada dizem sobre isso. | Isso está fora do meu conhecimento. | Pergunte a outra pessoa. | Prefiro não responder. | Desculpe, não posso ajudar. | Nenhum capítulo permite dizer isso. | O livro não diz nada sobre este ponto. | Nenhuma parte do texto permite responder. | O texto não responde à pergunta. | É impossível responder.
+    Dat weet ik niet. | Daar kan ik niets over zeggen. | Ik heb daar geen informatie over. | De bronnen zeggen er niets over. | Dat valt buiten mijn kennis. | Vraag het aan iemand anders. | Ik geef daar liever geen antwoord op. | Sorry, daar kan ik niet mee helpen. | Geen enkel hoofdstuk geeft daar antwoord op. | Het boek vertelt er niets over. | Geen enkele bladzijde beantwoordt de vraag. | De tekst geeft geen antwoord. | Het boek zegt daar niets van.""".replace("\n", "|").split("|")
 )
 
 

@@ -578,6 +578,18 @@ def test_languages_of_documents(spark, profiles):
     assert set(trained.languages) == set(languages.LANGUAGES)
 
 
+def test_a_language_without_prototype_has_none(spark):
+    en = languages._SEED["en"]
+    samples = {k: [v] * 3 for k, v in languages._SEED.items()}  # every trigram seen again: the coverage is whole
+    known = hyperlang.train(samples)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    docs = spark.createDataFrame([(1, polish, "en"), (2, en, "pl"), (3, finnish, None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.found_lang, r.confidence) for r in languages.detect_languages(docs, known).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and got[2][0] == "en"
+    assert {r.found_lang for r in languages.language_passages(docs.filter("doc_id <> 2"), known).collect()} == {"und"}
+
+
 def test_long_text_is_scored_in_blocks(profiles, monkeypatch):
     text = [languages._SEED["fr"] * 200]
     whole = languages.Analysis(text, profiles).resolve()
