@@ -38,9 +38,9 @@ BLOCK = 16
 EPSILON = 2.1
 SPARSE = 0.03
 #: Vectors that a list should hold; one with more than twice as many is parted again.
-CELL = 4096
+CELL = 2048
 #: Lists in which a vector can be found, and how far their centroids' cosines may lie behind the nearest one's.
-COPIES, MARGIN = 6, 0.25
+COPIES, MARGIN = 6, 0.3
 #: Children of a node of the tree, and its depth: lists for 4e9 times CELL vectors.
 FAN, LEVELS = 256, 4
 SAMPLE_ONE_IN, SAMPLE_LEAST, SAMPLE_PER_LIST = 32, 30_000, 64

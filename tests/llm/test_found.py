@@ -136,7 +136,7 @@ def test_ties_between_classes_go_to_the_smaller_id(spark, monkeypatch):
     rng.shuffle(rows)
     rows += [(f"x{i:02d}", rng.standard_normal(64).astype(np.float32).tolist()) for i in range(60)]
     df = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in rows], "chunk_id string, vector array<float>").repartition(4)
-    for cell in (4096, 6):  # one list, then a cluster that no centroid parts is asked in groups
+    for cell in (2048, 6):  # one list, then a cluster that no centroid parts is asked in groups
         monkeypatch.setattr(neighbours, "CELL", cell)
         got = defaultdict(list)
         for r in neighbours.nearest(df, 10).orderBy("id", "place").collect():
