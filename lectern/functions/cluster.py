@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,13 @@ BROADCAST_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's ``spark.checkpoint.dir``; set a directory of our own only where it names none (tests)."""
+    """Keep the session's ``spark.checkpoint.dir``; set a directory of our own only where it names none and all runs in one
+    process (tests).  On a cluster a folder of one machine is none of the others', so there it is an error."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoint-"))
 
 

@@ -12,10 +12,36 @@ from pyspark.sql.types import StringType
 STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
+def _composable() -> str:
+    """A class of the letters and digits that have another compatibility form, by code point, found once from the character tables."""
+    points = [p for p in range(0x80, 0x30000) if not 0xAC00 <= p <= 0xD7A3 and not 0xD800 <= p <= 0xDFFF]
+    changed = [p for p in points if (n := unicodedata.normalize("NFKC", chr(p))) != chr(p) and any(c.isalnum() for c in n)]
+    runs: list[list[int]] = []
+    for p in changed:
+        # what lies between two such letters may be tried in vain
+        if runs and p - runs[-1][1] <= 64:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[\\p{M}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+COMPOSABLE = _composable()
+
+
+def compatible(column):
+    """A text in compatibility form (NFKC), so that full-width letters, ligatures and the like meet their plain forms.
+
+    There is no built-in for it: only texts with such characters are handed to Python, the others go as nulls."""
+    other = F.when((F.octet_length(column) != F.length(column)) & F.rlike(column, F.lit(COMPOSABLE)), column)
+    return F.coalesce(compose(other, F.lit("NFKC")), column)
+
+
 def terms(column, stopwords: bool = False):
-    """Search terms of a text: lower case, apostrophes dropped, runs of letters and digits, in order."""
+    """Search terms of a text: lower case, apostrophes dropped, runs of letters and digits, in order; of a text that may hold
+    letters in compatibility forms, give :func:`compatible` of it."""
     found = F.regexp_extract_all(F.regexp_replace(F.lower(column), "['’]", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_except(found, F.array(*map(F.lit, STOPWORDS))) if stopwords else found
+    return F.filter(found, lambda t: ~t.isin(STOPWORDS)) if stopwords else found
 
 
 @F.pandas_udf(StringType())
@@ -48,8 +74,8 @@ def without_marks(column):
 
 
 def question_key(column):
-    """What makes two questions the same: case, white space and a closing mark do not."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(column), r"\s+", " ")), r"\s*[?.!]+$", "")
+    """What makes two questions the same: case, white space and a closing question mark do not."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(column), r"\s+", " ")), r"[?\s]+$", "")
 
 
 def snippet(column, length: int):
@@ -83,17 +109,34 @@ def roman_value(column):
     return F.aggregate(values, start, step, lambda s: s["sum"])
 
 
+def roman_text(number):
+    """A number from 1 to 3999 as a Roman numeral in small letters."""
+    digit = lambda power, one, five, ten: F.element_at(
+        F.array(*[F.lit(t) for t in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), (F.floor(number / power) % 10 + 1).cast("int")
+    )
+    whole = F.concat(F.repeat(F.lit("m"), F.floor(number / 1000).cast("int")), digit(100, "c", "d", "m"), digit(10, "x", "l", "c"), digit(1, "i", "v", "x"))
+    return F.when(number.between(1, 3999), whole)
+
+
 def slug(column):
     """A name that is safe as a folder."""
     return F.regexp_replace(column, "[^A-Za-z0-9._-]+", "-")
 
 
 def sentences(column):
-    """Sentences of a text: they end after a closing mark before a capital, digit or quote, or at a blank line."""
-    cut = F.regexp_replace(column, r"([.!?][\"')\]]*)\s+(?=[\"'(\[]?[\p{Lu}\p{N}])", "$1\u0001")
-    parts = F.split(F.regexp_replace(cut, r"\n{2,}", "\u0001"), "\u0001")
+    """Sentences of a text: a blank line ends one, and so does white space after a closing mark (with quotes or brackets around it)
+    where the next word begins like a sentence: with a capital or a digit, a quote or bracket before it allowed."""
+    blocks = F.split(column, r"\n\n+")
+    # a mark is put after every possible end, then pieces whose successor begins small are joined again
+    marked = F.transform(blocks, lambda b: F.split(F.regexp_replace(b, r"((?:\.|!|\?)(?:\"|'|\)|\])*)(\s+)", "$1\u0001$2\u0002"), "\u0002"))
+    opens = lambda p: F.rlike(p, F.lit(r"^(?:\"|'|\(|\[)?(?:\p{Lu}|\p{N})"))
+    glued = F.transform(marked, lambda ps: F.array_join(F.transform(ps, lambda p, i: F.when((i > 0) & opens(p), F.concat(F.lit("\u0002"), p)).otherwise(p)), ""))
+    parts = F.flatten(F.transform(glued, lambda g: F.split(F.replace(g, F.lit("\u0001"), F.lit("")), "\u0002")))
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
-def money(column, currency: str = "USD"):
-    return F.concat(F.format_number(column, 4), F.lit(" " + currency))
+def money(column):
+    """An amount for a reader: two decimals from a cent on, below it up to six without closing zeros, and 0 as such."""
+    two = F.format_string("%.2f", column)
+    six = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", column), "0+$", ""), r"\.$", "")
+    return F.when(column == 0, F.lit("0")).when(column >= 0.01, two).otherwise(six)

@@ -22,17 +22,38 @@ def _tokens(n: int) -> int:
     return -(-n // 4)
 
 
+def as_units(text: str) -> str:
+    """A text as a string of UTF-16 units, one character each, so that lengths and offsets count units; of a text within the basic
+    plane that is the text itself."""
+    if text.isascii() or max(text) < "\U00010000":
+        return text
+    return "".join(map(chr, np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2").tolist()))
+
+
+def from_units(units: str) -> str:
+    return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def fixed_size(docs: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP, id_col: str = "doc_id") -> DataFrame:
-    """Windows of ``size`` tokens of four characters, each starting ``size - overlap`` after the last; blank ones are dropped."""
+    """Windows of ``size`` tokens of four UTF-16 units, each starting ``size - overlap`` after the last; blank ones are dropped.  A
+    window that would begin or end within a surrogate pair begins or ends before it."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the size")
     step = size - overlap
-    n = F.ceil(F.length("text") / 4).cast("int")
+    units = utf16_units(F.col("text"))
+    n = F.ceil(units / 4).cast("int")
     last = F.greatest(F.ceil((n - size) / step).cast("int"), F.lit(0))
     windows = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    rows = docs.select(F.col(id_col), "text", F.explode(windows).alias("w")).withColumn("char_start", F.col("w") * step * 4)
-    rows = rows.withColumn("char_end", F.least(F.col("char_start") + size * 4, F.length("text")))
-    rows = rows.withColumn("piece", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    astral = F.octet_length("text") != F.length("text")
+    rows = docs.select(F.col(id_col), "text", units.alias("units"), (astral & (units != F.length("text"))).alias("wide"), F.explode(windows).alias("w")).withColumn("a", F.col("w") * step * 4)
+    rows = rows.withColumn("b", F.least(F.col("a") + size * 4, F.col("units")))
+    # the unit before a cut that is the first half of a pair: its upper byte is D8 to DB
+    coded = F.encode("text", "UTF-16BE")
+    half = lambda at: F.when(F.col("wide") & (at > 0) & (at < F.col("units")) & F.hex(F.substring(coded, 2 * at - 1, F.lit(1))).between("D8", "DB"), at - 1).otherwise(at)
+    rows = rows.withColumn("char_start", half(F.col("a"))).withColumn("char_end", half(F.col("b")))
+    length = F.col("char_end") - F.col("char_start")
+    wide = F.decode(F.substring(coded, 2 * F.col("char_start") + 1, 2 * length), "UTF-16BE")
+    rows = rows.withColumn("piece", F.when(F.col("wide"), wide).otherwise(F.substring("text", F.col("char_start") + 1, length)))
     return rows.filter(F.rlike("piece", F.lit(r"\S"))).select(id_col, F.col("w").alias("chunk_no"), "char_start", "char_end", F.col("piece").alias("text"))
 
 
@@ -59,7 +80,14 @@ def _pieces(text: str, a: int, b: int, separators: tuple[str, ...], limit: int)
                 run = []
             groups += _pieces(text, s, e, separators[i + 1 :], limit)
         return [*groups, run] if run else groups
-    return [[(s, min(s + 4 * limit, b))] for s in range(a, b, 4 * limit)]
+    out, at = [], a
+    while at < b:
+        end = min(at + 4 * limit, b)
+        if end < b and "\ud800" <= text[end - 1] <= "\udbff":
+            end -= 1  # never inside a surrogate pair
+        out.append([(at, end)])
+        at = end
+    return out
 
 
 def _pack(pieces: list[Span], limit: int, overlap: int) -> list[Span]:
@@ -97,12 +125,20 @@ def split_recursive(text: str, limit: int = MAX_TOKENS, overlap: int = OVERLAP)
     return out
 
 
-_BOUNDARY = re.compile(r"[.!?][\"')\]]*\s+(?=[\"'(\[]?[^\W_a-zß-öø-ÿ])|\n{2,}")
+_END = re.compile(r"(?:[.]|[!]|[?])(?:\"|'|\)|\])*\s+")
+_BLANK = re.compile(r"\n\n+")
 
 
 def sentence_spans(text: str) -> list[Span]:
-    cuts = [0, *(m.end() for m in _BOUNDARY.finditer(text)), len(text)]
-    return [s for a, b in zip(cuts, cuts[1:]) if (s := _trim(text, a, b))]
+    """A blank line ends a sentence, and so does white space after a closing mark before a capital or a figure, a quote or bracket allowed."""
+    cuts = {0, len(text), *(m.end() for m in _BLANK.finditer(text))}
+    for m in _END.finditer(text):
+        at = m.end()
+        first = text[at + 1 : at + 2] if text[at : at + 1] in "\"'([" else text[at : at + 1]
+        if first.isupper() or first.isdigit():
+            cuts.add(at)
+    order = sorted(cuts)
+    return [s for a, b in zip(order, order[1:]) if (s := _trim(text, a, b))]
 
 
 def hashed_embedding(text: str, dim: int = 64) -> np.ndarray:
@@ -135,12 +171,12 @@ def split_semantic(text: str, limit: int = MAX_TOKENS, least: int = 60, percenti
 
 
 def generate(docs: DataFrame, split: Callable[[str], list[Span]], id_col: str = "doc_id") -> DataFrame:
-    """Rows of a span generator over whole texts, in parallel over documents."""
+    """Rows of a span generator over whole texts, in parallel over documents; it sees texts as UTF-16 units."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, no, s, e, t[s:e]) for i, t in zip(b[id_col], b["text"]) if t for no, (s, e) in enumerate(split(t))]
+            rows = [(i, no, s, e, from_units(t[s:e])) for i, t in zip(b[id_col], map(as_units, b["text"].fillna(""))) if t for no, (s, e) in enumerate(split(t))]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "char_start", "char_end", "text"])
 
     return docs.select(id_col, "text").mapInPandas(run, _SPANS.format(id=id_col, kind=kind))
@@ -182,10 +218,10 @@ def parent_child(docs: DataFrame, parent: int = MAX_TOKENS, child: int = 100, id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t in zip(b[id_col], b["text"]):
+            for i, t in zip(b[id_col], map(as_units, b["text"].fillna(""))):
                 for no, (s, e) in enumerate(split_recursive(t, parent, 0) if t else []):
-                    rows.append((i, no, None, s, e, t[s:e]))
-                    rows += [(i, k, no, s + x, s + y, t[s + x : s + y]) for k, (x, y) in enumerate(split_recursive(t[s:e], child, child // 5))]
+                    rows.append((i, no, None, s, e, from_units(t[s:e])))
+                    rows += [(i, k, no, s + x, s + y, from_units(t[s + x : s + y])) for k, (x, y) in enumerate(split_recursive(t[s:e], child, child // 5))]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "parent_no", "char_start", "char_end", "text"]).astype({"parent_no": "Int32"})
 
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {kind}, chunk_no int, parent_no int, char_start int, char_end int, text string")

@@ -14,33 +14,42 @@ from ..functions.cluster import materialize, utf16_units
 
 EDGE = 3
 MIN_NUMBERED, MIN_REPEATED = 2, 3
-#: Printed forms of a page number (fixed patterns).
-ARABIC = r"(?i)^(?:page\s+)?(\d{1,4})(?:\s*(?:of|/)\s*\d{1,4})?$"
-DASHED = r"^[-–—]\s*(\d{1,4})\s*[-–—]$"
-ROMAN = r"(?i)^(?:page\s+)?(m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))$"
+DASHES = "-–—"
+#: Characters that the rules on single characters look for, and white space that the rules on spaces change.
+_RARE = r"[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{2010}\x{2011}\x{FB00}-\x{FB06}]"
+_LOOSE = r"\r|\n\n\n|^\n|\n$|[ \t\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}](?:[ \t\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\n]|$)|[\t\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 #: Letter pairs that are one glyph (fixed values).
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 _SPACE = r"[ \t   -   　]+"
 
 
+def _line_ends(c):
+    c = F.regexp_replace(c, r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(c, r"^\n+|\n+$", ""), r"\n{3,}", "\n\n")
+
+
+def _spaces(c):
+    return F.regexp_replace(F.regexp_replace(c, _SPACE + r"(?=\n|$)", ""), _SPACE, " ")
+
+
 def clean_unicode(column):
-    """Line ends, blank lines, invisible characters, ligatures and spaces of one page's text."""
-    c = F.regexp_replace(column, r"\r\n?", "\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"^\n+|\n+$", ""), r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, "­(?=\n)", "-")
-    c = F.regexp_replace(c, "[­​-‍⁠﻿]", "")
-    c = F.regexp_replace(c, "[‐‑]", "-")
+    """Line ends, blank lines, invisible characters, ligatures and spaces of one page's text.
+
+    A text without the characters that a rule changes skips it: most pages pass two searches and no replacement."""
+    c = F.regexp_replace(F.regexp_replace(_line_ends(column), "\u00ad(?=\n)", "-"), r"[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
+    c = F.regexp_replace(c, r"[\x{2010}\x{2011}]", "-")
     for glyph, letters in LIGATURES.items():
         c = F.replace(c, F.lit(glyph), F.lit(letters))
-    c = F.regexp_replace(F.regexp_replace(c, _SPACE + r"(?=\n|$)", ""), _SPACE, " ")
-    return c
+    plain = F.octet_length(column) == F.length(column)
+    return F.when(~plain & F.rlike(column, F.lit(_RARE)), _spaces(c)).when(F.rlike(column, F.lit(_LOOSE)), _spaces(_line_ends(column))).otherwise(column)
 
 
 def unicode_cleaner(pages: DataFrame) -> DataFrame:
-    """Composing accents has no built-in: only texts with combining marks are handed to Python, the others as nulls."""
-    cleaned = pages.withColumn("text", clean_unicode(F.col("text")))
-    apart = F.when(F.rlike("text", F.lit(r"\p{L}\p{M}")), F.col("text"))
-    return cleaned.withColumn("text", F.coalesce(X.compose(apart, F.lit("NFC")), F.col("text")))
+    """Composing accents has no built-in: only pages with a combining mark go through Python, the others never leave the JVM."""
+    apart = F.coalesce((F.octet_length("text") != F.length("text")) & F.rlike("text", F.lit(r"\p{L}\p{M}")), F.lit(False))
+    cleaned = clean_unicode(F.col("text"))
+    composed = pages.filter(apart).withColumn("text", cleaned).withColumn("text", X.compose("text", F.lit("NFC")))
+    return pages.filter(~apart).withColumn("text", cleaned).unionByName(composed)
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
@@ -51,15 +60,41 @@ def edge_lines(pages: DataFrame) -> DataFrame:
     return solid.select("doc_id", "page_no", "page_index", F.explode(picked).alias("e")).select("doc_id", "page_no", "page_index", "e.line_no", "e.line")
 
 
+def _number(c):
+    """A column that is nothing but one to four figures, as such, else null."""
+    return F.when(F.length(c).between(1, 4) & (F.translate(c, "0123456789", "") == ""), c)
+
+
+def printed_numbers(lines: DataFrame) -> DataFrame:
+    """Of rows with a ``line`` those that are nothing but a page number, with its ``kind`` and ``value``: figures, alone, after the word
+    for a page or before the number of all pages; figures between dashes; or a Roman numeral.
+
+    Each step reads the columns of the one before, as each is used several times."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    dash = lambda c: F.instr(F.lit(DASHES), c) > 0
+    low = lines.filter(F.length("line") <= 200).withColumn("low", F.lower(trimmed(F.col("line"))))
+    # nothing else can be left when figures, numerals, the two words and the marks are taken away
+    low = low.filter((F.length("low") <= 40) & (F.translate("low", "0123456789ivxlcdmpageof/ \t" + DASHES, "") == ""))
+    after = F.regexp_replace(F.substring("low", 5, 40), r"^\s+", "")
+    told = F.startswith("low", F.lit("page")) & (F.length(after) < F.length("low") - 4)
+    rest = low.withColumn("rest", F.when(told, after).otherwise(F.col("low")))
+    parts = rest.withColumn("parts", F.split(F.regexp_replace(F.replace("rest", F.lit("of"), F.lit("/")), r"\s*/\s*", "/"), "/"))
+    first, second = _number(F.get("parts", F.lit(0))), _number(F.get("parts", F.lit(1)))
+    counted = F.when((F.size("parts") == 1) | ((F.size("parts") == 2) & second.isNotNull()), first)
+    between = F.when((F.length("low") > 2) & dash(F.substring("low", 1, 1)) & dash(F.substring("low", -1, 1)), _number(trimmed(F.substring("low", F.lit(2), F.length("low") - 2))))
+    figures = parts.withColumn("figures", F.coalesce(counted, between).cast("int"))
+    letters = F.length("rest").between(1, 15) & (F.translate("rest", "ivxlcdm", "") == "")
+    roman = figures.withColumn("roman", F.when(letters, X.roman_value(F.col("rest"))))
+    roman = roman.withColumn("roman", F.when(X.roman_text(F.col("roman")) == F.col("rest"), F.col("roman")))
+    found = roman.filter(F.col("figures").isNotNull() | F.col("roman").isNotNull())
+    kind = F.when(F.col("figures").isNotNull(), "arabic").otherwise("roman")
+    return found.withColumn("kind", kind).withColumn("value", F.coalesce("figures", "roman")).drop("low", "rest", "parts", "figures", "roman")
+
+
 def page_number_lines(pages: DataFrame) -> DataFrame:
     """``doc_id, page_no, line_no, kind, offset`` of edge lines that hold a page number, accepted where two pages of a
     document have the same distance between printed number and page."""
-    text = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    arabic = F.coalesce(F.nullif(F.regexp_extract(text, ARABIC, 1), F.lit("")), F.nullif(F.regexp_extract(text, DASHED, 1), F.lit("")))
-    roman = F.nullif(F.regexp_extract(text, ROMAN, 1), F.lit(""))
-    value = F.coalesce(arabic.cast("int"), X.roman_value(roman))
-    found = edge_lines(pages).select("doc_id", "page_no", "line_no", F.when(arabic.isNotNull(), "arabic").when(roman.isNotNull(), "roman").alias("kind"), (value - F.col("page_no")).alias("offset"))
-    found = found.filter(F.col("kind").isNotNull())
+    found = materialize(printed_numbers(edge_lines(pages)).select("doc_id", "page_no", "line_no", "kind", (F.col("value") - F.col("page_no")).alias("offset")))
     steady = found.groupBy("doc_id", "kind", "offset").agg(F.countDistinct("page_no").alias("n")).filter(F.col("n") >= MIN_NUMBERED)
     return found.join(steady, ["doc_id", "kind", "offset"], "left_semi").select("doc_id", "page_no", "line_no", "kind", "offset")
 
@@ -104,7 +139,9 @@ def header_footer_cleaner(pages: DataFrame) -> DataFrame:
 
 def dehyphenate(column):
     """Words broken over a line end: a hyphen after two letters, before a small letter of the next line, goes."""
-    return F.regexp_replace(column, r"(?<=\p{L}{2})[-‐‑][ \t]*\n(?=\p{Ll})", "")
+    broken = r"(\p{L}\p{L})(?:-|\x{2010}|\x{2011})(?:\x20|\t)*\n(\p{Ll})"
+    # a page without a hyphen at a line's end is left alone
+    return F.when(F.rlike(column, F.lit(r"[-\x{2010}\x{2011}][ \t]*\n")), F.regexp_replace(column, broken, "$1$2")).otherwise(column)
 
 
 def dehyphenate_cleaner(pages: DataFrame) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cluster import utf16_units
+
 TIE = 1e-9
 
 
@@ -56,38 +59,64 @@ def variant_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def _paired(results: DataFrame, baseline: str, metric: str) -> DataFrame:
+    """``variant, qid, before, after`` of the questions that both sides answered without ``error`` (where there is such a column) and
+    have the metric for."""
+    sound = results.filter(F.col("error").isNull()) if "error" in results.columns else results
+    base = sound.filter(F.col("variant") == baseline).select("qid", F.col(metric).alias("before"))
+    other = sound.filter(F.col("variant") != baseline).select("variant", "qid", F.col(metric).alias("after"))
+    return other.join(base, "qid").filter(F.col("before").isNotNull() & F.col("after").isNotNull())
+
+
 def compare(results: DataFrame, baseline: str, metric: str) -> DataFrame:
-    """Wins, losses, ties and the mean difference of every other variant over the questions both have."""
-    base = results.filter(F.col("variant") == baseline).select("qid", F.col(metric).alias("before"))
-    other = results.filter(F.col("variant") != baseline).select("variant", "qid", F.col(metric).alias("after"))
+    """Wins, losses, ties and the mean difference of every other variant over the questions that both answered."""
     d = F.col("after") - F.col("before")
-    return other.join(base, "qid").filter(d.isNotNull()).groupBy("variant").agg(
+    return _paired(results, baseline, metric).groupBy("variant").agg(
         F.count_if(d > TIE).alias("wins"), F.count_if(d < -TIE).alias("losses"), F.count_if(F.abs(d) <= TIE).alias("ties"), F.avg(d).alias("mean_difference")
     )
 
 
+class Mulberry:
+    """The generator mulberry32 (public domain; its constants are fixed values), many numbers at a time: the state only counts up."""
+
+    def __init__(self, seed: int):
+        self.state = seed & 0xFFFFFFFF
+
+    def take(self, n: int) -> np.ndarray:
+        """The next ``n`` numbers in [0, 1)."""
+        mask, step = np.uint64(0xFFFFFFFF), 0x6D2B79F5
+        a = (np.uint64(self.state) + np.uint64(step) * np.arange(1, n + 1, dtype=np.uint64)) & mask
+        self.state = (self.state + step * n) & 0xFFFFFFFF
+        mixed = ((a ^ (a >> np.uint64(15))) * (a | np.uint64(1))) & mask
+        mixed ^= (mixed + (((mixed ^ (mixed >> np.uint64(7))) * (mixed | np.uint64(61))) & mask)) & mask
+        return ((mixed ^ (mixed >> np.uint64(14))) & mask).astype(np.float64) / 4294967296.0
+
+
+def bootstrap_interval(differences: np.ndarray, seed: int = 1, resamples: int = 2000) -> tuple[float, float] | None:
+    """The 2.5th and 97.5th percentile of the means of ``resamples`` draws with replacement; none for under two differences."""
+    n = len(differences)
+    if n < 2:
+        return None
+    source, means = Mulberry(seed), np.empty(resamples)
+    for r in range(resamples):
+        means[r] = differences[np.floor(source.take(n) * n).astype(np.int64)].sum() / n
+    means.sort()
+    return float(means[int(0.025 * resamples)]), float(means[min(resamples - 1, int(np.ceil(0.975 * resamples)) - 1)])
+
+
 def bootstrap_intervals(results: DataFrame, baseline: str, metric: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
     """95 % intervals of the mean difference and the verdict, ``variant, low, high, verdict``.
 
-    Differences are gathered by variant as counts of equal values, so a task holds distinct values, not questions; a
-    resample draws multinomial counts."""
-    base = results.filter(F.col("variant") == baseline).select("qid", F.col(metric).alias("before"))
-    other = results.filter(F.col("variant") != baseline).select("variant", "qid", F.col(metric).alias("after"))
-    d = F.round(F.col("after") - F.col("before"), 9)
-    counted = other.join(base, "qid").select("variant", d.alias("d")).filter(F.col("d").isNotNull()).groupBy("variant", "d").agg(F.count("*").alias("n"))
+    One task holds the differences of one variant, in the order of the questions' ids: eight bytes for each labelled question."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("d")
-        total = int(group["n"].sum())
-        low = high = None
-        if total >= 2:
-            draws = np.random.default_rng(seed).multinomial(total, group["n"].to_numpy() / total, size=resamples)
-            means = np.sort(draws @ group["d"].to_numpy() / total)
-            low, high = float(means[int(0.025 * resamples)]), float(means[min(resamples - 1, int(np.ceil(0.975 * resamples)) - 1)])
+        found = bootstrap_interval(group.sort_values("qid")["d"].to_numpy(dtype=np.float64), seed, resamples)
+        low, high = found or (None, None)
         verdict = "unclear" if low is None or low <= 0 <= high else "better" if low > 0 else "worse"
         return pd.DataFrame({"variant": [group["variant"].iloc[0]], "low": [low], "high": [high], "verdict": [verdict]}).astype({"low": "float64", "high": "float64"})
 
-    return counted.groupBy("variant").applyInPandas(run, "variant string, low double, high double, verdict string")
+    rows = _paired(results, baseline, metric).select("variant", F.col("qid").cast("string").alias("qid"), (F.col("after") - F.col("before")).alias("d"))
+    return rows.groupBy("variant").applyInPandas(run, "variant string, low double, high double, verdict string")
 
 
 def regression_verdict(baseline: DataFrame, observed: DataFrame, margin: float) -> DataFrame:
@@ -117,25 +146,49 @@ def nearest_rank(values: Iterator[float], p: float) -> float:
     return ordered[min(len(ordered) - 1, max(0, int(np.ceil(p * len(ordered))) - 1))] if ordered else 0.0
 
 
-def dataset_violations(questions: DataFrame, pages: DataFrame, least: int = 40, least_unanswerable: int = 5) -> DataFrame:
-    """``code, qid`` of every rule that a labelled set breaks; a gold quote must stand once on its page, white space aside."""
+def resolve_gold(gold: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where each quote of ``doc_id, qid, gold_ix, page_no, quote`` stands in its document: ``start, end`` in the document's text and
+    ``code``, null where it stands there once.  White space is matched loosely.
+
+    ``pages`` are ``doc_id, page_no, text, char_start``, their texts in UTF-16 units within the document.  The codes are
+    ``page-missing``, ``quote-not-found`` (a blank quote too) and ``quote-ambiguous``.  Quotes and pages meet by document and page, so
+    a document's pages spread over tasks."""
+    own = pages.select("doc_id", "page_no", "text", F.col("char_start").alias("page_start")).dropDuplicates(["doc_id", "page_no"])
+    joined = gold.join(own.withColumn("there", F.lit(True)), ["doc_id", "page_no"], "left")
+    words = F.filter(F.split(F.trim(F.regexp_replace("quote", r"\s+", " ")), " "), lambda w: w != "")
+    escaped = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    pattern = F.array_join(escaped, r"\s+")
+    asked = joined.withColumn("pattern", F.when(F.size(words) > 0, pattern))
+    hits = F.when(F.col("there") & F.col("pattern").isNotNull(), F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+    found = asked.withColumn("hits", hits)
+    times = F.coalesce(F.size("hits"), F.lit(0))
+    code = F.when(F.col("there").isNull(), "page-missing").when(F.col("hits").isNull() | (times == 0), "quote-not-found").when(times > 1, "quote-ambiguous")
+    first = F.get("hits", F.lit(0))
+    before = utf16_units(F.substring("text", F.lit(1), F.instr("text", first) - 1))
+    start = F.when(code.isNull(), F.col("page_start") + before)
+    out = found.withColumn("code", code).withColumn("start", start.cast("int"))
+    return out.select("doc_id", "qid", "gold_ix", "page_no", "quote", "start", (F.col("start") + utf16_units(first)).cast("int").alias("end"), "code")
+
+
+def dataset_violations(questions: DataFrame, pages: DataFrame | None = None, page_count: int | None = None, least: int = 40, least_unanswerable: int = 5) -> DataFrame:
+    """``code, qid`` of every rule that a labelled set ``qid, question, kind, gold`` breaks.
+
+    ``pages`` are the pages of the one document that the labels were written for, ``page_count`` its length; without them only the set
+    itself is judged."""
     only = lambda df, code: df.select(F.lit(code).alias("code"), "qid")
-    sizes = questions.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "unanswerable").alias("u"))
-    few = sizes.filter(F.col("n") < least).select(F.lit("too-few-questions").alias("code"), F.lit(None).cast("string").alias("qid"))
-    none = sizes.filter(F.col("u") < least_unanswerable).select(F.lit("too-few-unanswerable").alias("code"), F.lit(None).cast("string").alias("qid"))
-    ids = questions.withColumn("n", F.count("*").over(Window.partitionBy("qid"))).filter("n > 1")
-    key = F.lower(F.trim("question"))
-    same = questions.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("qid"))).filter("n > 1")
-    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    gold = questions.select("qid", F.explode("gold").alias("g")).select("qid", F.col("g.page").alias("page_no"), squeeze(F.col("g.quote")).alias("quote"))
-    text = pages.select("page_no", squeeze(F.col("text")).alias("text"))
-    last = pages.agg(F.max("page_no").alias("last"))
-    beyond = gold.crossJoin(F.broadcast(last)).filter((F.col("page_no") < 1) | (F.col("page_no") > F.col("last")))
-    times = (F.length("text") - F.length(F.replace("text", F.col("quote")))) / F.length("quote")
-    placed = gold.join(text, "page_no").withColumn("times", times)
-    per = placed.groupBy("qid", "page_no", "quote").agg(F.sum("times").alias("times"))
-    parts = [few, none, only(ids, "duplicate-id"), only(same, "duplicate-question"), only(beyond, "page-out-of-range"), only(per.filter("times = 0"), "quote-not-found"), only(per.filter("times > 1"), "quote-ambiguous")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    none = lambda df, code: df.select(F.lit(code).alias("code"), F.lit(None).cast("string").alias("qid"))
+    kinds = ("factual", "multi-part", "unanswerable")
+    sizes = questions.agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    missing = sizes.select(F.explode(F.array(*[F.when(F.col(k) == 0, k) for k in kinds])).alias("k")).filter("k IS NOT NULL")
+    nth = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("qid", "question"))
+    parts = [
+        none(sizes.filter(F.col("n") < least), "too-few-questions"), none(missing, "missing-kind"), none(sizes.filter(F.col("unanswerable") < least_unanswerable), "too-few-unanswerable"),
+        only(questions.withColumn("nth", nth(F.col("qid"))).filter("nth > 1"), "duplicate-id"), only(questions.withColumn("nth", nth(F.lower(F.trim("question")))).filter("nth > 1"), "duplicate-question"),
+    ]
+    gold = questions.select("qid", F.posexplode("gold").alias("gold_ix", "g")).select("qid", "gold_ix", F.col("g.page").alias("page_no"), F.col("g.quote").alias("quote"))
+    if page_count is not None:
+        parts.append(only(gold.filter(F.col("page_no") > page_count), "page-out-of-range"))
+    if pages is not None:
+        resolved = resolve_gold(gold.withColumn("doc_id", F.lit("")), pages.withColumn("doc_id", F.lit("")))
+        parts.append(resolved.filter("code IS NOT NULL").select("code", "qid"))
+    return reduce(DataFrame.unionByName, parts)

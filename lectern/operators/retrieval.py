@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import vectors as V
+from ..functions.cluster import join_side, materialize
 
 DIGITS = 6
 K1, B = 1.2, 0.75
@@ -30,17 +30,26 @@ HYBRID_DEPTH, MULTI_QUERY_DEPTH = 50, 20
 def top_k(scored: DataFrame, k: int, retriever: str, id_col: str = "chunk_id") -> DataFrame:
     """The k best of each query, ranked from 1."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), id_col)
-    ranked = scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("score", F.round("score", DIGITS) + F.lit(0.0)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("qid", id_col, "score", "rank", F.lit(retriever).alias("retriever"))
 
 
 # --- keyword search
 
 
+def indexed_texts(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, t`` with the text to index, ``embed_text`` where given, of every id once (the smallest text of a repeated one).
+
+    Only the texts of ids that are delivered more than once are shuffled."""
+    rows = chunks.select("chunk_id", F.coalesce("embed_text", "text").alias("t"))
+    again = join_side(chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id"))
+    several = rows.join(again, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("t").alias("t"))
+    return rows.join(again, "chunk_id", "left_anti").unionByName(several)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """``term, chunk_id, tf``; the text indexed is ``embed_text`` where given.  Repeated ids count once."""
-    texts = chunks.groupBy("chunk_id").agg(F.min(F.coalesce("embed_text", "text")).alias("t"))
-    return texts.select("chunk_id", F.explode(X.terms(F.col("t"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return indexed_texts(chunks).select("chunk_id", F.explode(X.terms(X.compatible(F.col("t")))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def chunk_lengths(chunks: DataFrame, posted: DataFrame) -> DataFrame:
@@ -49,44 +58,81 @@ def chunk_lengths(chunks: DataFrame, posted: DataFrame) -> DataFrame:
     return chunks.select("chunk_id").distinct().join(own, "chunk_id", "left").na.fill(0, ["len"])
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
-    """BM25 for every query; counts and lengths are of all chunks, whatever ``keep`` lets through.
-
-    The query terms prune the postings before anything is joined to them, and partial sums for each query and chunk are
-    formed before the shuffle."""
-    posted = postings(chunks)
-    lengths = chunk_lengths(chunks, posted)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    asked = queries.select("qid", F.explode(F.array_distinct(X.terms(F.col("question")))).alias("term"))
+#: Stands for the chunk itself among its terms: no term is empty.
+_CHUNK = ""
+
+
+def _asked_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """``chunk_id, term, tf, len``, materialized and partitioned by chunk: the postings of the terms that are asked for, and a row
+    with an empty term for every chunk.  Texts are read and parted into terms once."""
+    words = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(_CHUNK,)], "term string"))
+    split = indexed_texts(chunks).select("chunk_id", X.terms(X.compatible(F.coalesce("t", F.lit("")))).alias("terms"))
+    rows = split.select("chunk_id", F.size("terms").alias("len"), F.explode(F.concat("terms", F.array(F.lit(_CHUNK)))).alias("term"))
+    counted = rows.join(join_side(words), "term", "left_semi").groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(counted.repartition(parts, "chunk_id"))
+
+
+def score_postings(posted: DataFrame, lengths: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """BM25 hits from postings ``chunk_id, term, tf, len`` of a whole collection and ``chunk_id, len`` of all its chunks; rows of
+    ``posted`` with ``kept`` false count for the collection only.  Queries ``qid, term`` with the same terms are scored once."""
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
+    n, avg_len = float(corpus["n"]), float(corpus["a"] or 0.0)
     frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = asked.select("term").distinct().join(frequency, "term").crossJoin(F.broadcast(corpus))
+    by_terms = materialize(asked.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    sets = by_terms.select("terms").distinct().withColumn("key", F.xxhash64("terms"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    wanted = sets.select("key", F.explode("terms").alias("term")).join(join_side(frequency), "term").select("key", "term", idf.alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0)))
+    # a chunk's postings lie together, so its scores are summed where they are, and each task sends on its k best of a query
+    scored = posted.filter("kept").join(join_side(wanted), "term").groupBy("key", "chunk_id").agg(F.sum(weight).alias("score"))
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "chunk_id")
+    best = scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    queries = join_side(by_terms.select("qid", F.xxhash64("terms").alias("key")))
+    return best.join(queries, "key").select("qid", "chunk_id", "score", "rank", F.lit("bm25").alias("retriever"))
+
+
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
+    """BM25 for every query; counts and lengths are of all chunks, whatever ``keep`` lets through."""
+    asked = materialize(queries.select("qid", F.explode(F.array_distinct(X.terms(X.compatible(F.col("question"))))).alias("term")))
+    posted = _asked_postings(chunks, asked)
+    kept = posted.withColumn("kept", F.lit(True))
     if keep is not None:
-        posted = posted.join(chunks.filter(keep).select("chunk_id").distinct(), "chunk_id", "left_semi")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # one weight for each posting, before postings meet the queries that ask for them
-    weighted = posted.join(stats, "term").join(lengths, "chunk_id").select("term", "chunk_id", weight.alias("w"))
-    scored = asked.join(weighted, "term").groupBy("qid", "chunk_id").agg(F.sum("w").alias("score"))
-    return top_k(scored, k, "bm25")
+        allowed = join_side(chunks.filter(keep).select("chunk_id", F.lit(True).alias("kept")).distinct())
+        kept = posted.join(allowed, "chunk_id", "left").na.fill(False, ["kept"])
+    return score_postings(kept.filter(F.col("term") != _CHUNK), posted.filter(F.col("term") == _CHUNK).select("chunk_id", "len"), asked, k)
+
+
+def search_index(postings_: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The same search over a stored index, ``term, chunk_id, tf`` and ``chunk_id, len``; no text is read."""
+    asked = materialize(queries.select("qid", F.explode(F.array_distinct(X.terms(X.compatible(F.col("question"))))).alias("term")))
+    words = join_side(asked.select("term").distinct())
+    parts = int(postings_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings_.join(words, "term", "left_semi").join(lengths, "chunk_id").select("chunk_id", "term", "tf", "len", F.lit(True).alias("kept"))
+    return score_postings(materialize(rows.repartition(parts, "chunk_id")), lengths, asked, k)
 
 
 # --- dense search
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
+    """The query set ``qid, qv`` in blocks of at most DRIVER_QUERIES rows, one at least."""
+    asked = queries.select("qid", "qv").filter(F.col("qv").isNotNull())
+    asks = asked.limit(DRIVER_QUERIES + 1).toPandas()
+    if len(asks) > DRIVER_QUERIES:
+        yield from (pd.DataFrame(rows, columns=["qid", "qv"]) for rows in batched(asked.toLocalIterator(), DRIVER_QUERIES))
+    else:
+        yield asks
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, id_col: str = "chunk_id", vector_col: str = "vector",
                  measure: str = "cosine") -> DataFrame:
     """Exact search of a stated query set, ``qid, qv``, against all vectors.
 
-    Queries travel as matrices of at most DRIVER_QUERIES; each batch of vectors is scored by matrix products and sends on only
-    what may be among the k best.  Each further matrix is one more pass over the vectors.  Queries meet vectors of their own
+    Queries travel as matrices of at most DRIVER_QUERIES; each batch of vectors is scored by matrix products, and a task sends on
+    once what may be among the k best of all its batches.  Each further matrix is one more pass over the vectors.  Queries meet vectors of their own
     length.  The filter runs before anything is scored."""
     base = (vectors if keep is None else vectors.filter(keep)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    asked = queries.select("qid", "qv").filter(F.col("qv").isNotNull())
-    asks = asked.limit(DRIVER_QUERIES + 1).toPandas()
-    if len(asks) > DRIVER_QUERIES:
-        blocks = (pd.DataFrame(rows, columns=["qid", "qv"]) for rows in batched(asked.toLocalIterator(), DRIVER_QUERIES))
-    else:
-        blocks = iter([asks])
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, chunk_id {vectors.schema[id_col].dataType.simpleString()}, score double"
 
     def scan(names: np.ndarray, matrix: np.ndarray) -> DataFrame:
@@ -94,31 +140,47 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, matrix = shared.value
+            q_len = np.linalg.norm(matrix, axis=1)
+            # what may still be among the k best of each query: places of queries, ids and scores
+            held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0))
+            bar = np.full(len(matrix), -np.inf)
             for b in batches:
                 if not len(b):
                     continue
                 v = np.array([np.asarray(x, dtype=np.float64) for x in b["v"]])
+                ids, v_len = b["id"].to_numpy(), np.linalg.norm(v, axis=1)
+                found = [held]
                 step = max(1, PRODUCT_CELLS // len(v))
                 for at in range(0, len(matrix), step):
                     q = matrix[at : at + step]
                     if measure == "cosine":
-                        lengths = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+                        lengths = v_len[:, None] * q_len[None, at : at + step]
                         scores = np.divide(v @ q.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
                     else:
-                        scores = -np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (v @ q.T), 0))
-                    near = np.round(scores, DIGITS)
-                    if len(v) > k:  # ties with the last place go on, the final ranking decides them
-                        least = np.partition(near, len(v) - k, axis=0)[len(v) - k]
-                        i, j = np.nonzero(near >= least[None, :])
-                    else:
-                        i, j = np.divmod(np.arange(scores.size), scores.shape[1])
-                    yield pd.DataFrame({"qid": names[at + j], "chunk_id": b["id"].to_numpy()[i], "score": scores[i, j]})
+                        scores = -np.sqrt(np.maximum((v_len**2)[:, None] + (q_len[at : at + step] ** 2)[None, :] - 2 * (v @ q.T), 0))
+                    scores = np.round(scores, DIGITS)
+                    least = bar[at : at + step]
+                    if len(v) > k:  # ties with the last place stay, the final ranking decides them
+                        least = np.maximum(least, np.partition(scores, len(v) - k, axis=0)[len(v) - k])
+                    i, j = np.nonzero(scores >= least[None, :])
+                    found.append((at + j, ids[i], scores[i, j]))
+                place, who, score = (np.concatenate([f[n] for f in found]) for n in range(3))
+                order = np.lexsort((-score, place))
+                place, who, score = place[order], who[order], score[order]
+                first = np.searchsorted(place, place, side="left")
+                last = np.minimum(first + k, np.searchsorted(place, place, side="right")) - 1
+                keep = score >= score[last]
+                full = np.searchsorted(place, place, side="right") - first >= k
+                bar[place[full]] = score[last][full]
+                held = place[keep], who[keep], score[keep]
+            if len(held[0]):
+                yield pd.DataFrame({"qid": names[held[0]], "chunk_id": held[1], "score": held[2]})
 
         return base.filter(F.size("v") == matrix.shape[1]).mapInPandas(run, schema)
 
     scans = [
         scan(same["qid"].to_numpy(), np.array([np.asarray(v, dtype=np.float64) for v in same["qv"]]))
-        for block in blocks for _, same in block.groupby(block["qv"].map(len))
+        for block in _query_blocks(queries) for _, same in block.groupby(block["qv"].map(len))
     ]
     scored = reduce(DataFrame.unionByName, scans) if scans else vectors.sparkSession.createDataFrame([], schema)
     return top_k(scored, k, "dense" if measure == "cosine" else measure)
@@ -134,25 +196,72 @@ def delete(store: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame
     return store.join(ids.select(key), key, "left_anti")
 
 
-def hash_bucket_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, dim: int, tables: int = 12, bits: int = 5, seed: int = 42) -> DataFrame:
-    """Approximate search by sign hashing: a vector meets a query where, in one of ``tables`` tables, it lies in the query's bucket
-    or in one that differs from it by a single sign; exact cosines rank what met.  Recall, not exact ids, is the contract.
-
-    On vectors without clusters the neighbouring buckets are needed for recall, and most vectors meet most queries."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    plane = lambda p: F.array(*[F.lit(float(x)) for x in p])
-
-    def buckets(v):
-        code = lambda t: reduce(lambda a, b: a + b, [F.when(V.dot(v, plane(p)) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes[t])])
-        return F.array(*[(F.lit(t << bits) + code(t)).cast("int") for t in range(tables)])
-
-    def probed(own):
-        return F.flatten(F.transform(own, lambda b: F.array(b, *[b.bitwiseXOR(F.lit(1 << i)) for i in range(bits)])))
+def cluster_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, list_rows: int = 1000, share: float = 0.35, sample: int = 20_000, seed: int = 42) -> DataFrame:
+    """Approximate search by inverted lists: vectors lie in the list of their nearest centroid, a query looks into the lists nearest to
+    it, and exact cosines rank what it meets there.  Recall, not exact ids, is the contract.
+
+    The number of lists follows the number of vectors, up to 4096 (beyond four million vectors lists grow); centroids are fitted on at
+    most ``sample`` vectors and every vector is indexed.  A query probes the square root of the lists, and at least ``share`` of the
+    first 64.  Queries travel in blocks, and in each list a query keeps its k best, so what is shuffled does not grow with a list."""
+    spark = vectors.sparkSession
+    v = F.col(vector_col)
+    base = vectors.filter(v.isNotNull() & (F.size(v) > 0)).select(F.col(id_col).alias("id"), v.alias("v"))
+    total = base.count()
+    lists = int(min(4096, max(1, -(-total // list_rows))))
+    rows = base.select("v").sample(min(1.0, 1.2 * sample / max(total, 1)), seed).limit(sample).toPandas()["v"] if total > sample else base.select("v").toPandas()["v"]
+    dims = [len(x) for x in rows]
+    dim = max(set(dims), key=dims.count) if dims else 0
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    fitted = np.array([np.asarray(x, dtype=np.float64) for x in rows if len(x) == dim]).reshape(-1, dim)
+    rng = np.random.default_rng(seed)
+    fitted = unit(fitted[np.isfinite(fitted).all(axis=1)])
+    lists = max(1, min(lists, len(fitted)))
+    c = fitted[rng.choice(len(fitted), lists, replace=False)] if len(fitted) else np.zeros((1, dim))
+    for _ in range(8):
+        at = (fitted @ c.T).argmax(axis=1) if len(fitted) else np.zeros(0, dtype=np.int64)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, fitted)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, unit(sums), c)
+    probes = min(lists, max(int(np.ceil(np.sqrt(lists))), int(np.ceil(share * min(lists, 64)))))
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, chunk_id {vectors.schema[id_col].dataType.simpleString()}, score double"
+    scans = []
+    for block in _query_blocks(queries):
+        block = block[block["qv"].map(len) == dim]
+        q = unit(np.array([np.asarray(x, dtype=np.float64) for x in block["qv"]]).reshape(-1, dim))
+        near = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes]
+        askers = {l: np.flatnonzero((near == l).any(axis=1)) for l in np.unique(near).tolist()}
+        scans.append(_scan_lists(base.filter(F.size("v") == dim), c, askers, q, block["qid"].to_numpy(), k, schema))
+    return top_k(reduce(DataFrame.unionByName, scans), k, "ann")
+
+
+def _scan_lists(base: DataFrame, c: np.ndarray, askers: dict[int, np.ndarray], q: np.ndarray, names: np.ndarray, k: int, schema: str) -> DataFrame:
+    """For each batch of vectors, what may be among the k best of the queries that ask in a vector's list."""
+    shared = base.sparkSession.sparkContext.broadcast((c, askers, q, names))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, askers, q, names = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            m = np.array([np.asarray(x, dtype=np.float64) for x in b["v"]])
+            own = (unit(m) @ c.T).argmax(axis=1)
+            u, ids = unit(m), b["id"].to_numpy()
+            place, who, score = [], [], []
+            for l in np.unique(own).tolist():
+                if l not in askers:
+                    continue
+                here = np.flatnonzero(own == l)
+                s = np.round(u[here] @ q[askers[l]].T, DIGITS)
+                least = np.partition(s, len(here) - k, axis=0)[len(here) - k] if len(here) > k else np.full(s.shape[1], -np.inf)
+                i, j = np.nonzero(s >= least[None, :])
+                place.append(askers[l][j])
+                who.append(ids[here[i]])
+                score.append(s[i, j])
+            if place:
+                yield pd.DataFrame({"qid": names[np.concatenate(place)], "chunk_id": np.concatenate(who), "score": np.concatenate(score)})
 
-    base = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v"), V.norm(F.col(vector_col)).alias("nv"), F.explode(buckets(F.col(vector_col))).alias("bucket"))
-    asks = queries.select("qid", "qv", V.norm(F.col("qv")).alias("nq"), F.explode(probed(buckets(F.col("qv")))).alias("bucket"))
-    met = asks.join(base, "bucket").select("qid", "chunk_id", V.cosine(F.col("v"), F.col("qv"), F.col("nv"), F.col("nq")).alias("score"))
-    return top_k(met.groupBy("qid", "chunk_id").agg(F.max("score").alias("score")), k, "ann")
+    return base.mapInPandas(run, schema)
 
 
 # --- fusion
@@ -176,15 +285,22 @@ def weighted_fusion(lists: DataFrame, weights: dict[str, float], k: int) -> Data
 
 
 def multi_query(variant_hits: DataFrame, k: int, depth: int = MULTI_QUERY_DEPTH) -> DataFrame:
-    """Fuses the lists of a query's variants (``qid, variant, chunk_id, rank``), each cut at ``max(k, depth)``."""
-    cut = variant_hits.filter(F.col("rank") <= max(k, depth))
-    return rrf(cut.withColumn("retriever", F.col("variant").cast("string")), k)
+    """Fuses the lists of a query's variants (``qid, variant, chunk_id, score, rank``), each cut at ``max(k, depth)``; the list of a
+    query that has a single variant passes as it is."""
+    variants = variant_hits.groupBy("qid").agg(F.countDistinct("variant").alias("variants"))
+    cut = variant_hits.filter(F.col("rank") <= max(k, depth)).join(variants, "qid")
+    fused = rrf(cut.filter("variants > 1").withColumn("retriever", F.col("variant").cast("string")), k)
+    alone = cut.filter((F.col("variants") == 1) & (F.col("rank") <= k))
+    return fused.unionByName(alone.select("qid", "chunk_id", "score", F.col("rank").cast("int").alias("rank"), F.lit("single").alias("retriever")))
 
 
 def expand_parents(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Children give way to their parents, each at the place and score of its best child."""
-    of = chunks.select("chunk_id", F.coalesce("parent_id", "chunk_id").alias("parent")).dropDuplicates(["chunk_id"])
-    best = hits.join(of, "chunk_id").groupBy("qid", "parent").agg(F.min(F.struct("rank", "score")).alias("b"))
+    """Children give way to their parents, each at the place and score of its best child; fails where a hit or its parent is no chunk."""
+    own = chunks.select("chunk_id", F.coalesce("parent_id", "chunk_id").alias("parent")).dropDuplicates(["chunk_id"])
+    there = own.select(F.col("chunk_id").alias("parent"), F.lit(True).alias("there"))
+    found = hits.join(own, "chunk_id", "left").join(there, "parent", "left")
+    sure = F.when(F.col("there"), F.col("parent")).otherwise(F.raise_error(F.concat(F.lit("no chunk or parent for "), "chunk_id")).cast("string"))
+    best = found.withColumn("parent", sure).groupBy("qid", "parent").agg(F.min(F.struct("rank", "score")).alias("b"))
     order = Window.partitionBy("qid").orderBy("b.rank", "parent")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", F.col("parent").alias("chunk_id"), F.col("b.score").alias("score"), "rank")
 

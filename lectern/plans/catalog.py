@@ -5,6 +5,8 @@ Searches take a stated query set against all rows: the labelled questions, or ev
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,18 @@ def tokens_sql(c: str) -> str:
     return f"cast(ceil({units_sql(c)} / 4.0) AS BIGINT)"
 
 
+def _plain_forms() -> tuple[str, str]:
+    """Letters and digits that have a compatibility form of one character, and those forms."""
+    ranges = (range(0x80, 0x3000), range(0xFF00, 0xFFF0), range(0x1D400, 0x1D800))
+    pairs = [(chr(p), n) for r in ranges for p in r if (n := unicodedata.normalize("NFKC", chr(p))) != chr(p) and len(n) == 1 and n.isalnum()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_COMPATIBLE = _plain_forms()
+
+
 def terms_sql(c: str) -> str:
-    return f"regexp_extract_all(regexp_replace(lower({c}), '[''’]', '', 'g'), '[\\pL\\pN]+')"
+    return f"regexp_extract_all(regexp_replace(lower(translate({c}, '{_COMPATIBLE[0]}', '{_COMPATIBLE[1]}')), '[''’]', '', 'g'), '[\\pL\\pN]+')"
 
 
 # --- scalars
@@ -49,7 +61,7 @@ def terms_sql(c: str) -> str:
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY ALL")
 def analyze_terms(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
+    docs = table(spark, d, "documents").select("doc_id", F.explode(X.terms(X.compatible(F.col("text")))).alias("term"))
     return docs.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -182,7 +194,7 @@ _COS = "list_cosine_similarity(cast(a.embedding AS DOUBLE[]), cast(b.embedding A
 
 def _dense_sql(score: str, keep: str = "true") -> str:
     return f"""
-    WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round({score}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND {keep}),
+    WITH s AS (SELECT a.vec_id AS qid, b.vec_id, round({score}, 6) + 0.0 AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND {keep}),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT qid, vec_id, score, rank FROM r WHERE rank <= 10"""
 
@@ -211,10 +223,46 @@ def euclidean_topk(spark, d):
     return _dense(spark, d, measure="euclidean")
 
 
+def _ann(spark, d):
+    """Random vectors without clusters: most lists must be probed."""
+    return retrieval.cluster_search(table(spark, d, "embeddings"), _asks(spark, d), 10, "vec_id", "embedding", list_rows=250, share=0.8)
+
+
 @query()
 def ann_topk(spark, d):
-    hits = retrieval.hash_bucket_search(table(spark, d, "embeddings"), _asks(spark, d), 10, "vec_id", "embedding", 64)
-    return hits.select("qid", F.col("chunk_id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+    return _ann(spark, d).select("qid", F.col("chunk_id").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _chunk_asks(vectors):
+    """Every chunk whose id, as a number, is divisible by 50."""
+    return vectors.filter(F.conv(F.right("chunk_id", F.lit(8)), 16, 10).cast("bigint") % 50 == 0).select(F.col("chunk_id").alias("qid"), F.col("vector").alias("qv"))
+
+
+def _ann_chunks(spark, d):
+    vectors = sound_vectors(spark, d)
+    return retrieval.cluster_search(vectors, _chunk_asks(vectors), 10, "chunk_id", "vector", list_rows=500, share=0.15)
+
+
+@query()
+def ann_chunks(spark, d):
+    return _ann_chunks(spark, d).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("SELECT * FROM (VALUES ('embeddings', true), ('vectors', true)) v(searched, enough)")
+def ann_recall(spark, d):
+    """Recall of both approximate searches against the exact ones: at least 0.9."""
+    vectors = sound_vectors(spark, d)
+    pairs = {
+        "embeddings": (_ann(spark, d), retrieval.dense_search(table(spark, d, "embeddings"), _asks(spark, d), 10, id_col="vec_id", vector_col="embedding").withColumnRenamed("vec_id", "chunk_id")),
+        "vectors": (_ann_chunks(spark, d), retrieval.dense_search(vectors, _chunk_asks(vectors), 10)),
+    }
+    rows = []
+    for name, (near, exact) in pairs.items():
+        least = exact.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+        # a hit as near as the tenth exact one counts, whatever its id
+        found = near.withColumnRenamed("vec_id", "chunk_id").join(least, "qid", "right").groupBy("qid").agg(F.count_if(F.col("score") >= F.col("least")).alias("hit"), F.max("n").alias("n"))
+        rows.append(found.agg((F.sum("hit") >= 0.9 * F.sum("n")).alias("enough")).select(F.lit(name).alias("searched"), "enough"))
+    return rows[0].unionByName(rows[1])
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(cast(embedding AS DOUBLE[]), cast(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
@@ -286,8 +334,10 @@ def parent_expansion(spark, d):
 
 @query(f"""WITH {_INDEXED}, {_bm25_sql('bm', 'question')}, {_bm25_sql('hy', 'answer')},
     lists AS (SELECT qid, chunk_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, rank FROM hy WHERE rank <= 20),
-    s AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM lists GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s)
+    paired AS (SELECT qid FROM questions WHERE answer IS NOT NULL AND EXISTS (SELECT 1 FROM hy WHERE hy.qid = questions.qid) AND EXISTS (SELECT 1 FROM bm WHERE bm.qid = questions.qid)),
+    s AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM lists WHERE qid IN (FROM paired) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s UNION ALL
+          SELECT qid, chunk_id, score, rank FROM bm WHERE qid NOT IN (FROM paired) UNION ALL SELECT qid, chunk_id, score, rank FROM hy WHERE qid NOT IN (FROM paired))
     SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 5""")
 def multi_query_topk(spark, d):
     """The question and its hypothetical answer as two variants."""
@@ -296,7 +346,7 @@ def multi_query_topk(spark, d):
         asked.filter("answer IS NOT NULL").select(F.struct("qid", F.lit(1).alias("variant")).alias("qid"), F.col("answer").alias("question"))
     )
     hits = retrieval.bm25_search(_indexed(spark, d), both, retrieval.MULTI_QUERY_DEPTH)
-    return _ranked(retrieval.multi_query(hits.select("qid.qid", "qid.variant", "chunk_id", "rank"), 5))
+    return _ranked(retrieval.multi_query(hits.select("qid.qid", "qid.variant", "chunk_id", "score", "rank"), 5))
 
 
 @query(f"""{_RRF},
@@ -391,9 +441,42 @@ def count_by_kind(spark, d):
     return table(spark, d, "questions").groupBy("kind").agg(F.count("*").alias("questions"), F.count_if(F.size("gold") == 0).alias("without_gold"))
 
 
-@query()
+_PATTERN = "array_to_string(list_transform(list_filter(string_split_regex(trim({0}), '\\s+'), lambda w: w <> ''), lambda w: '\\Q' || w || '\\E'), '\\s+')"
+_BOOK = "(SELECT doc_id FROM pages GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 1)"
+
+
+def _quotes(spark, d):
+    """The opening words of every chunk that lies on one page, as labelled quotes."""
+    chunks = table(spark, d, "chunks").filter("page_start = page_end").select("chunk_id", "doc_id", "page_start", "text").distinct()
+    return chunks.select("doc_id", F.col("chunk_id").alias("qid"), F.lit(0).alias("gold_ix"), F.col("page_start").alias("page_no"), F.trim(F.substring("text", 1, 80)).alias("quote"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT chunk_id AS qid, doc_id, page_start AS page_no, trim(substr(text, 1, 80)) AS quote FROM chunks WHERE page_start = page_end),
+    j AS (SELECT q.*, p.text, p.char_start AS s, p.doc_id IS NULL AS gone, regexp_extract_all(p.text, {_PATTERN.format('quote')}) AS hits FROM q LEFT JOIN pages p ON p.doc_id = q.doc_id AND p.page_no = q.page_no),
+    r AS (SELECT *, CASE WHEN gone THEN 'page-missing' WHEN len(hits) = 0 THEN 'quote-not-found' WHEN len(hits) > 1 THEN 'quote-ambiguous' END AS code, substr(text, 1, strpos(text, hits[1]) - 1) AS before FROM j)
+    SELECT qid, page_no, code, cast(CASE WHEN code IS NULL THEN s + {units_sql('before')} END AS INTEGER) AS "start",
+           cast(CASE WHEN code IS NULL THEN s + {units_sql('before')} + {units_sql('hits[1]')} END AS INTEGER) AS "end" FROM r""")
+def gold_spans(spark, d):
+    return evaluation.resolve_gold(_quotes(spark, d), table(spark, d, "pages")).select("qid", "page_no", "code", "start", "end")
+
+
+def _book(spark, d):
+    """The pages of the document with most pages, which stands for the labelled one."""
+    pages = table(spark, d, "pages")
+    first = pages.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(1)
+    return pages.join(F.broadcast(first), "doc_id")  # one row
+
+
+@query(f"""WITH p AS (SELECT * FROM pages WHERE doc_id = {_BOOK}), g AS (SELECT qid, unnest(gold) AS g FROM questions), t AS (SELECT qid, g.page AS page_no, g.quote AS quote FROM g),
+    j AS (SELECT t.*, p.page_no IS NULL AS gone, len(regexp_extract_all(p.text, {_PATTERN.format('quote')})) AS n FROM t LEFT JOIN p USING (page_no)),
+    d AS (SELECT qid, row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY qid) AS nth FROM questions)
+    SELECT 'duplicate-question' AS code, qid FROM d WHERE nth > 1
+    UNION ALL SELECT 'page-out-of-range', qid FROM t WHERE page_no > (SELECT count(*) FROM p)
+    UNION ALL SELECT CASE WHEN gone THEN 'page-missing' WHEN n = 0 THEN 'quote-not-found' ELSE 'quote-ambiguous' END, qid FROM j WHERE gone OR n <> 1""")
 def dataset_violations(spark, d):
-    return evaluation.dataset_violations(table(spark, d, "questions"), table(spark, d, "pages"))
+    """The labelled questions against the longest document."""
+    book = materialize(_book(spark, d))
+    return evaluation.dataset_violations(table(spark, d, "questions"), book, book.count())
 
 
 @query("SELECT cast(row_number() OVER (ORDER BY a.i, b.i) - 1 AS INTEGER) AS variant_no, a.v AS strategy, b.v AS rerank FROM (VALUES (0, 'dense'), (1, 'bm25'), (2, 'hybrid')) a(i, v), (VALUES (0, 'off'), (1, 'llm')) b(i, v)")
@@ -458,7 +541,7 @@ def variant_summary(spark, d):
 
 # --- ratings
 
-_QKEY = "regexp_replace(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')), '\\s*[?.!]+$', '')"
+_QKEY = "regexp_replace(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')), '[?\\s]+$', '')"
 
 
 @query("SELECT answer_id, arg_max(rating, line_no) AS rating, max(line_no) AS line_no FROM review_items GROUP BY answer_id")

@@ -8,7 +8,7 @@ from ..functions import vectors as V
 from ..functions.cluster import approx_tokens
 from ..operators import chunking, cleaning, context, retrieval, structure
 from ..streaming import jobs
-from .catalog import _asks, hybrid_lists, query, sound_vectors, table, tokens_sql
+from .catalog import _asks, hybrid_lists, query, sound_vectors, table, tokens_sql, units_sql
 
 _SP = r"[ \t\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
 
@@ -75,10 +75,15 @@ def numbered_headings(spark, d):
     return structure.numbered_headings(table(spark, d, "parsed_documents"))
 
 
-@query("""WITH n AS (SELECT doc_id, text, ceil(length(text) / 4.0)::BIGINT AS n FROM documents),
-    w AS (SELECT doc_id, text, unnest(range(greatest(ceil((n - 400) / 340.0), 0)::BIGINT + 1)) AS w FROM n WHERE n > 0),
-    s AS (SELECT doc_id, w, w * 1360 AS a, least(w * 1360 + 1600, length(text)) AS b, text FROM w)
-    SELECT doc_id, cast(w AS INTEGER) AS chunk_no, cast(a AS INTEGER) AS char_start, cast(b AS INTEGER) AS char_end, substr(text, a + 1, b - a) AS text FROM s WHERE regexp_matches(substr(text, a + 1, b - a), '\\S')""")
+@query(f"""WITH n AS (SELECT doc_id, text, {units_sql('text')} AS u, ceil({units_sql('text')} / 4.0)::BIGINT AS n FROM documents),
+    w AS (SELECT doc_id, text, u, unnest(range(greatest(ceil((n - 400) / 340.0), 0)::BIGINT + 1)) AS w FROM n WHERE n > 0),
+    c AS (SELECT doc_id, w, text, length(text) < u AS wide, w * 1360 AS a, least(w * 1360 + 1600, u) AS b FROM w),
+    -- in texts with characters of two units: the units up to and with each character
+    k AS (SELECT doc_id, list_transform(range(1, length(text) + 1), lambda i: length(text[1:i]) + length(regexp_replace(text[1:i], '[^\\x{{10000}}-\\x{{10FFFF}}]+', '', 'g'))) AS ends FROM n WHERE length(text) < u),
+    s AS (SELECT c.doc_id, w, wide, a, b, text, CASE WHEN wide THEN len(list_filter(ends, lambda e: e <= a)) ELSE a END AS p, CASE WHEN wide THEN len(list_filter(ends, lambda e: e <= b)) ELSE b END AS q,
+                 ends FROM c LEFT JOIN k USING (doc_id))
+    SELECT doc_id, cast(w AS INTEGER) AS chunk_no, cast(CASE WHEN NOT wide THEN a WHEN p = 0 THEN 0 ELSE ends[p] END AS INTEGER) AS char_start, cast(CASE WHEN wide THEN ends[q] ELSE b END AS INTEGER) AS char_end,
+           substr(text, p + 1, q - p) AS text FROM s WHERE regexp_matches(substr(text, p + 1, q - p), '\\S')""")
 def fixed_size_chunks(spark, d):
     rows = chunking.fixed_size(table(spark, d, "documents"))
     return rows.select("doc_id", "chunk_no", F.col("char_start").cast("int"), F.col("char_end").cast("int"), "text")

@@ -81,23 +81,23 @@ def test_dense_search_of_many_queries_goes_in_blocks(spark, monkeypatch):
         assert got == sorted(map(tuple, whole.collect())) and len(got) == 451
 
 
-def test_hash_buckets_find_near_vectors(spark):
+def test_clusters_find_near_vectors(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((10, 32))
     rows = [(i, (centres[i % 10] + 0.2 * rng.standard_normal(32)).tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     q = df.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
     exact = {(r.qid, r.chunk_id) for r in retrieval.dense_search(df, q, 10, id_col="vec_id", vector_col="embedding").collect()}
-    near = {(r.qid, r.chunk_id) for r in retrieval.hash_bucket_search(df, q, 10, "vec_id", "embedding", 32).collect()}
+    near = {(r.qid, r.chunk_id) for r in retrieval.cluster_search(df, q, 10, "vec_id", "embedding", list_rows=30).collect()}
     assert len(exact & near) >= 0.95 * len(exact)
 
 
-def test_hash_buckets_hold_recall_without_clusters(spark):
+def test_lists_hold_recall_without_clusters(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).standard_normal((500, 64)))]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     q = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
     exact = {(r.qid, r.chunk_id) for r in retrieval.dense_search(df, q, 10, id_col="vec_id", vector_col="embedding").collect()}
-    near = {(r.qid, r.chunk_id) for r in retrieval.hash_bucket_search(df, q, 10, "vec_id", "embedding", 64).collect()}
+    near = {(r.qid, r.chunk_id) for r in retrieval.cluster_search(df, q, 10, "vec_id", "embedding", list_rows=100, share=0.8).collect()}
     assert len(near) == len(exact) == 100 and len(exact & near) >= 95
 
 
@@ -240,7 +240,15 @@ def test_index_round_trip(spark, small, tmp_path):
     assert index_store.read_index(spark, folder, 2)["chunks"].count() == 3
     with pytest.raises(ValueError):
         index_store.read_index(spark, folder, 3)
-    spark.read.parquet(f"{folder}/chunks").limit(1).write.mode("append").parquet(f"{folder}/chunks")
+    old = index_store.read_manifest(spark, folder)["tables"]
+    index_store.write_index(folder, tables, {"a": 2})  # replaces the index, and the old tables go
+    now = index_store.read_manifest(spark, folder)["tables"]
+    assert now != old and index_store.is_current(spark, folder, {"a": 2}) and not (tmp_path / "index" / old).exists()
+    broken = {**tables, "vectors": small.select(F.raise_error(F.lit("no")).cast("string").alias("chunk_id"), F.array(F.lit(1.0)).alias("vector"))}
+    with pytest.raises(Exception):
+        index_store.write_index(folder, broken, {"a": 3})
+    assert index_store.is_current(spark, folder, {"a": 2}) and index_store.read_index(spark, folder, 2)["chunks"].count() == 3
+    spark.read.parquet(f"{folder}/{now}/chunks").limit(1).write.mode("append").parquet(f"{folder}/{now}/chunks")
     with pytest.raises(ValueError):
         index_store.read_index(spark, folder)
 
@@ -266,8 +274,8 @@ def test_json_lines_and_pdf(spark, tmp_path):
 
 
 def test_config_layers():
-    got = config.load({"retrieval": {"k": 7}}, {"RAG_CHUNKING__MAXTOKENS": "200"}, {"--retrieval.k": "9"})
-    assert got["retrieval"]["k"] == 9 and got["chunking"]["maxTokens"] == 200
+    got = config.load({"retrieval": {"k": 7}}, {"RAG_CHUNKING__MAX_TOKENS": "200", "RAG_QUERY_TRANSFORM__HISTORY_TURNS": "2"}, {"--retrieval.k": "9"})
+    assert got["retrieval"]["k"] == 9 and got["chunking"]["maxTokens"] == 200 and got["queryTransform"]["historyTurns"] == 2
     with pytest.raises(ValueError, match="unknown setting.*unknown setting"):
         config.load({"a": {"b": 1}}, None, {"--c.d": "1"})
 
