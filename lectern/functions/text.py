@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,20 +28,31 @@ def _composable() -> str:
 
 
 COMPOSABLE = _composable()
+#: Characters beyond Latin letters and common marks: a text without them has no other compatibility form (the ranges hold none).
+_UNCOMMON = r"[^\x{0}-\x{A9}\x{AB}-\x{B1}\x{B4}\x{B6}-\x{B8}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{2009}-\x{205E}]"
+
+
+def _has_other_form(column):
+    return F.coalesce((F.octet_length(column) != F.length(column)) & F.rlike(column, F.lit(_UNCOMMON)) & F.rlike(column, F.lit(COMPOSABLE)), F.lit(False))
 
 
 def compatible(column):
     """A text in compatibility form (NFKC), so that full-width letters, ligatures and the like meet their plain forms.
 
     There is no built-in for it: only texts with such characters are handed to Python, the others go as nulls."""
-    other = F.when((F.octet_length(column) != F.length(column)) & F.rlike(column, F.lit(COMPOSABLE)), column)
-    return F.coalesce(compose(other, F.lit("NFKC")), column)
+    return F.coalesce(compose(F.when(_has_other_form(column), column), F.lit("NFKC")), column)
+
+
+def with_compatible(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the text column ``name`` in compatibility form; rows whose text has no other form never leave the JVM."""
+    other = _has_other_form(F.col(name))
+    return rows.filter(~other).unionByName(rows.filter(other).withColumn(name, compose(name, F.lit("NFKC"))))
 
 
 def terms(column, stopwords: bool = False):
     """Search terms of a text: lower case, apostrophes dropped, runs of letters and digits, in order; of a text that may hold
     letters in compatibility forms, give :func:`compatible` of it."""
-    found = F.regexp_extract_all(F.regexp_replace(F.lower(column), "['’]", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    found = F.regexp_extract_all(F.translate(F.lower(column), "'’", ""), F.lit(r"[a-z0-9\p{L}\p{N}]+"), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(STOPWORDS)) if stopwords else found
 
 

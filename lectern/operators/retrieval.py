@@ -7,6 +7,7 @@ order does not hang on the order of a sum, and ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import batched
 
@@ -22,6 +23,8 @@ DIGITS = 6
 K1, B = 1.2, 0.75
 RRF_K = 60
 DRIVER_QUERIES = 10_000
+#: Sets of query terms that are scored by one product.
+QUERY_BLOCK = 512
 #: Scores that one matrix product holds in memory.
 PRODUCT_CELLS = 4_000_000
 HYBRID_DEPTH, MULTI_QUERY_DEPTH = 50, 20
@@ -49,7 +52,7 @@ def indexed_texts(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """``term, chunk_id, tf``; the text indexed is ``embed_text`` where given.  Repeated ids count once."""
-    return indexed_texts(chunks).select("chunk_id", F.explode(X.terms(X.compatible(F.col("t")))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return X.with_compatible(indexed_texts(chunks), "t").select("chunk_id", F.explode(X.terms(F.col("t"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def chunk_lengths(chunks: DataFrame, posted: DataFrame) -> DataFrame:
@@ -58,58 +61,138 @@ def chunk_lengths(chunks: DataFrame, posted: DataFrame) -> DataFrame:
     return chunks.select("chunk_id").distinct().join(own, "chunk_id", "left").na.fill(0, ["len"])
 
 
-#: Stands for the chunk itself among its terms: no term is empty.
-_CHUNK = ""
-
-
-def _asked_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """``chunk_id, term, tf, len``, materialized and partitioned by chunk: the postings of the terms that are asked for, and a row
-    with an empty term for every chunk.  Texts are read and parted into terms once."""
-    words = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(_CHUNK,)], "term string"))
-    split = indexed_texts(chunks).select("chunk_id", X.terms(X.compatible(F.coalesce("t", F.lit("")))).alias("terms"))
-    rows = split.select("chunk_id", F.size("terms").alias("len"), F.explode(F.concat("terms", F.array(F.lit(_CHUNK)))).alias("term"))
-    counted = rows.join(join_side(words), "term", "left_semi").groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(counted.repartition(parts, "chunk_id"))
-
-
-def score_postings(posted: DataFrame, lengths: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """BM25 hits from postings ``chunk_id, term, tf, len`` of a whole collection and ``chunk_id, len`` of all its chunks; rows of
-    ``posted`` with ``kept`` false count for the collection only.  Queries ``qid, term`` with the same terms are scored once."""
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
-    n, avg_len = float(corpus["n"]), float(corpus["a"] or 0.0)
-    frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
-    by_terms = materialize(asked.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms")))
-    sets = by_terms.select("terms").distinct().withColumn("key", F.xxhash64("terms"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = sets.select("key", F.explode("terms").alias("term")).join(join_side(frequency), "term").select("key", "term", idf.alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0)))
-    # a chunk's postings lie together, so its scores are summed where they are, and each task sends on its k best of a query
-    scored = posted.filter("kept").join(join_side(wanted), "term").groupBy("key", "chunk_id").agg(F.sum(weight).alias("score"))
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "chunk_id")
-    best = scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    queries = join_side(by_terms.select("qid", F.xxhash64("terms").alias("key")))
-    return best.join(queries, "key").select("qid", "chunk_id", "score", "rank", F.lit("bm25").alias("retriever"))
+@dataclass(frozen=True)
+class Asked:
+    """A query set as terms: the distinct sets of terms, the queries of each, and the terms' numbers."""
+
+    sets: list[tuple[str, ...]]
+    queries: DataFrame  # qid, key: the place of its set
+    numbers: dict[str, int]
+
+
+def _asked_terms(queries: DataFrame) -> Asked:
+    """The stated query set on the driver, as distinct sets of terms."""
+    terms = X.terms(X.compatible(F.col("question")))
+    by_query = materialize(queries.select("qid", F.array_sort(F.array_distinct(terms)).alias("terms")).filter(F.size("terms") > 0))
+    sets = [tuple(r.terms) for r in by_query.select("terms").distinct().orderBy("terms").collect()]
+    places = queries.sparkSession.createDataFrame([(list(s), i) for i, s in enumerate(sets)] or [([], -1)], "terms array<string>, key bigint")
+    numbers = {t: i for i, t in enumerate(sorted({t for s in sets for t in s}))}
+    return Asked(sets, by_query.join(join_side(places), "terms").select("qid", "key"), numbers)
+
+
+def _score(chunks: DataFrame, asked: Asked, k: int) -> DataFrame:
+    """BM25 hits from materialized rows ``chunk_id, len, numbers, kept``: a chunk's length, the numbers of its asked terms in order, and
+    whether it may be a hit.  Counts are of all rows.
+
+    A batch of chunks is a matrix of term weights, a block of query sets one of zeros and ones; their product holds the scores, of
+    which a task sends on what may be among the k best of each set."""
+    corpus = chunks.agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
+    n, avg_len = float(corpus["n"]), float(corpus["a"] or 1.0) or 1.0
+    df = np.zeros(max(1, len(asked.numbers)))
+    for r in chunks.select(F.explode(F.array_distinct("numbers")).alias("t")).groupBy("t").count().collect():  # one row for each asked term
+        df[r["t"]] = r["count"]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    blocks = []
+    for at in range(0, len(asked.sets), QUERY_BLOCK):
+        some = asked.sets[at : at + QUERY_BLOCK]
+        own = sorted({asked.numbers[t] for s in some for t in s})
+        place = {t: i for i, t in enumerate(own)}
+        matrix = np.zeros((len(own), len(some)))
+        for j, s in enumerate(some):
+            matrix[[place[asked.numbers[t]] for t in s], j] = 1.0
+        blocks.append((at, np.array(own, dtype=np.int64), matrix))
+    shared = chunks.sparkSession.sparkContext.broadcast((idf, blocks))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, blocks = shared.value
+        best = _Best(sum(m.shape[1] for _, _, m in blocks), k)
+        for b in batches:
+            b = b[b["numbers"].map(len) > 0]
+            if not len(b):
+                continue
+            sizes = b["numbers"].map(len).to_numpy()
+            row, term = np.repeat(np.arange(len(b)), sizes), np.concatenate(b["numbers"].to_numpy())
+            cell, tf = np.unique(row * len(idf) + term, return_counts=True)
+            row, term = np.divmod(cell, len(idf))
+            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * b["len"].to_numpy()[row] / avg_len))
+            ids = b["chunk_id"].to_numpy()
+            for at, own, matrix in blocks:
+                place = np.searchsorted(own, term)
+                known = (place < len(own)) & (own[np.minimum(place, len(own) - 1)] == term)
+                r, c, w = row[known], place[known], weight[known]
+                step = max(1, PRODUCT_CELLS // len(own))
+                for start in range(0, len(b), step):
+                    stop = min(start + step, len(b))
+                    here = slice(np.searchsorted(r, start), np.searchsorted(r, stop))
+                    dense = np.zeros((stop - start, len(own)))
+                    dense[r[here] - start, c[here]] = w[here]
+                    best.add(at, ids[start:stop], np.round(dense @ matrix, DIGITS), 0.0)
+        yield from best.rows()
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    scored = chunks.filter("kept").select("chunk_id", "len", "numbers").mapInPandas(run, f"qid bigint, chunk_id {kind}, score double")
+    hits = top_k(scored, k, "bm25").withColumnRenamed("qid", "key")
+    return hits.join(asked.queries, "key").select("qid", "chunk_id", "score", "rank", "retriever")
+
+
+class _Best:
+    """What may be among the k best of each of some queries, over batches of scores; ties with the last place stay."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.bar = k, np.full(queries, -np.inf)
+        self.held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0))
+
+    def add(self, at: int, ids: np.ndarray, scores: np.ndarray, above: float = -np.inf) -> None:
+        """``scores`` of ids by queries, from the query at place ``at`` on; only those above ``above`` count."""
+        least = self.bar[at : at + scores.shape[1]]
+        if len(ids) > self.k:
+            least = np.maximum(least, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        i, j = np.nonzero((scores >= least[None, :]) & (scores > above))
+        place, who, score = (np.concatenate(p) for p in zip(self.held, (at + j, ids[i], scores[i, j])))
+        order = np.lexsort((-score, place))
+        place, who, score = place[order], who[order], score[order]
+        first, end = np.searchsorted(place, place, side="left"), np.searchsorted(place, place, side="right")
+        last = np.minimum(first + self.k, end) - 1
+        keep, full = score >= score[last], end - first >= self.k
+        self.bar[place[full]] = score[last][full]
+        self.held = place[keep], who[keep], score[keep]
+
+    def rows(self, names: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+        place, who, score = self.held
+        if len(place):
+            yield pd.DataFrame({"qid": place if names is None else names[place], "chunk_id": who, "score": score})
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
-    """BM25 for every query; counts and lengths are of all chunks, whatever ``keep`` lets through."""
-    asked = materialize(queries.select("qid", F.explode(F.array_distinct(X.terms(X.compatible(F.col("question"))))).alias("term")))
-    posted = _asked_postings(chunks, asked)
-    kept = posted.withColumn("kept", F.lit(True))
-    if keep is not None:
+    """BM25 for every query of a stated set; counts and lengths are of all chunks, whatever ``keep`` lets through.
+
+    Texts are read and parted into terms once, and nothing of them is shuffled."""
+    asked = _asked_terms(queries)
+    shared = chunks.sparkSession.sparkContext.broadcast(asked.numbers)
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = shared.value
+        for b in batches:
+            yield pd.DataFrame({"chunk_id": b["chunk_id"], "len": [len(t) for t in b["terms"]], "numbers": [[n for t in ts if (n := numbers.get(t)) is not None] for ts in b["terms"]]})
+
+    texts = X.with_compatible(indexed_texts(chunks).withColumn("t", F.coalesce("t", F.lit(""))), "t")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = texts.select("chunk_id", X.terms(F.col("t")).alias("terms")).mapInPandas(look_up, f"chunk_id {kind}, len int, numbers array<int>")
+    if keep is None:
+        rows = rows.withColumn("kept", F.lit(True))
+    else:
         allowed = join_side(chunks.filter(keep).select("chunk_id", F.lit(True).alias("kept")).distinct())
-        kept = posted.join(allowed, "chunk_id", "left").na.fill(False, ["kept"])
-    return score_postings(kept.filter(F.col("term") != _CHUNK), posted.filter(F.col("term") == _CHUNK).select("chunk_id", "len"), asked, k)
+        rows = rows.join(allowed, "chunk_id", "left").na.fill(False, ["kept"])
+    return _score(materialize(rows), asked, k)
 
 
 def search_index(postings_: DataFrame, lengths: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The same search over a stored index, ``term, chunk_id, tf`` and ``chunk_id, len``; no text is read."""
-    asked = materialize(queries.select("qid", F.explode(F.array_distinct(X.terms(X.compatible(F.col("question"))))).alias("term")))
-    words = join_side(asked.select("term").distinct())
-    parts = int(postings_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = postings_.join(words, "term", "left_semi").join(lengths, "chunk_id").select("chunk_id", "term", "tf", "len", F.lit(True).alias("kept"))
-    return score_postings(materialize(rows.repartition(parts, "chunk_id")), lengths, asked, k)
+    asked = _asked_terms(queries)
+    words = postings_.sparkSession.createDataFrame(list(asked.numbers.items()) or [("", -1)], "term string, no int")
+    own = postings_.join(join_side(words), "term").groupBy("chunk_id").agg(F.flatten(F.collect_list(F.array_repeat("no", F.col("tf").cast("int")))).alias("numbers"))
+    rows = lengths.select("chunk_id", F.col("len").cast("int").alias("len")).join(own, "chunk_id", "left")
+    return _score(materialize(rows.withColumn("numbers", F.coalesce("numbers", F.array().cast("array<int>"))).withColumn("kept", F.lit(True))), asked, k)
 
 
 # --- dense search
@@ -141,15 +224,12 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, matrix = shared.value
             q_len = np.linalg.norm(matrix, axis=1)
-            # what may still be among the k best of each query: places of queries, ids and scores
-            held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0))
-            bar = np.full(len(matrix), -np.inf)
+            best = _Best(len(matrix), k)
             for b in batches:
                 if not len(b):
                     continue
                 v = np.array([np.asarray(x, dtype=np.float64) for x in b["v"]])
                 ids, v_len = b["id"].to_numpy(), np.linalg.norm(v, axis=1)
-                found = [held]
                 step = max(1, PRODUCT_CELLS // len(v))
                 for at in range(0, len(matrix), step):
                     q = matrix[at : at + step]
@@ -158,23 +238,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
                         scores = np.divide(v @ q.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
                     else:
                         scores = -np.sqrt(np.maximum((v_len**2)[:, None] + (q_len[at : at + step] ** 2)[None, :] - 2 * (v @ q.T), 0))
-                    scores = np.round(scores, DIGITS)
-                    least = bar[at : at + step]
-                    if len(v) > k:  # ties with the last place stay, the final ranking decides them
-                        least = np.maximum(least, np.partition(scores, len(v) - k, axis=0)[len(v) - k])
-                    i, j = np.nonzero(scores >= least[None, :])
-                    found.append((at + j, ids[i], scores[i, j]))
-                place, who, score = (np.concatenate([f[n] for f in found]) for n in range(3))
-                order = np.lexsort((-score, place))
-                place, who, score = place[order], who[order], score[order]
-                first = np.searchsorted(place, place, side="left")
-                last = np.minimum(first + k, np.searchsorted(place, place, side="right")) - 1
-                keep = score >= score[last]
-                full = np.searchsorted(place, place, side="right") - first >= k
-                bar[place[full]] = score[last][full]
-                held = place[keep], who[keep], score[keep]
-            if len(held[0]):
-                yield pd.DataFrame({"qid": names[held[0]], "chunk_id": held[1], "score": held[2]})
+                    best.add(at, ids, np.round(scores, DIGITS))
+            yield from best.rows(names)
 
         return base.filter(F.size("v") == matrix.shape[1]).mapInPandas(run, schema)
 

@@ -61,7 +61,7 @@ def terms_sql(c: str) -> str:
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY ALL")
 def analyze_terms(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(X.terms(X.compatible(F.col("text")))).alias("term"))
+    docs = X.with_compatible(table(spark, d, "documents"), "text").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
     return docs.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
