@@ -5,6 +5,8 @@ sections need the headings of a document only."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,31 +19,38 @@ _LINES = "doc_id string, page_no int, line_no int, text string, size double, is_
 def group_lines(items: DataFrame) -> DataFrame:
     """Items in order share a line while their height differs from the line's first item by at most a third of the larger font."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page, rows, line = page.sort_values("item_no"), [], []
+    def lines_of(doc, no, items) -> list[tuple]:
+        rows, line = [], []
 
         def close():
             if not line:
                 return
-            visible = [len("".join(i.text.split())) for i in line]
+            visible = [len("".join(i["text"].split())) for i in line]
             by_size: dict[float, int] = {}
             for i, n in zip(line, visible):
-                size = round(i.font_size * 2) / 2
+                size = round(i["font_size"] * 2) / 2
                 by_size[size] = by_size.get(size, 0) + n
             total = sum(visible)
-            bold = sum(n for i, n in zip(line, visible) if i.is_bold)
+            bold = sum(n for i, n in zip(line, visible) if i["is_bold"])
             size = max(by_size, key=by_size.get)
-            rows.append((line[0].doc_id, line[0].page_no, len(rows), "".join(i.text for i in line).strip(), size, total > 0 and bold >= 0.9 * total, total, line[0].y, line[0].start, line[-1].end))
+            rows.append((doc, no, len(rows), "".join(i["text"] for i in line).strip(), size, total > 0 and bold >= 0.9 * total, total, line[0]["y"], line[0]["start"], line[-1]["end"]))
 
-        for item in page.itertuples():
-            if line and abs(item.y - line[0].y) > max(item.font_size, line[0].font_size) / 3:
+        for item in sorted(items, key=lambda i: i["item_no"]):
+            if line and abs(item["y"] - line[0]["y"]) > max(item["font_size"], line[0]["font_size"]) / 3:
                 close()
                 line = []
             line.append(item)
         close()
-        return pd.DataFrame(rows, columns=["doc_id", "page_no", "line_no", "text", "size", "is_bold", "chars", "y", "start", "end"])
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [r for doc, no, its in zip(b["doc_id"], b["page_no"], b["items"]) for r in lines_of(doc, no, its)]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "line_no", "text", "size", "is_bold", "chars", "y", "start", "end"])
 
-    return items.groupBy("doc_id", "page_no").applyInPandas(run, _LINES)
+    # a page is one row, and a batch holds many
+    pages = items.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("item_no", "text", "y", "font_size", "is_bold", "start", "end")).alias("items"))
+    return pages.mapInPandas(run, _LINES)
 
 
 def body_style(lines: DataFrame) -> DataFrame:
@@ -119,11 +128,57 @@ def section_paths(positions: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def outline(tree: DataFrame) -> DataFrame:
-    """``doc_id, outline``: indented titles in order."""
+    """``doc_id, outline``: indented titles in order, with their pages where the tree has ``page_start`` and ``page_end``."""
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.col("title"))
+    if "page_start" in tree.columns:
+        one = F.col("page_start") == F.col("page_end")
+        pages = F.when(one, F.concat(F.lit("p."), "page_start")).otherwise(F.concat(F.lit("pp."), "page_start", F.lit("-"), "page_end"))
+        line = F.concat(line, F.lit("  ("), pages, F.lit(")"))
     rows = tree.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
     return rows.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("outline"))
 
 
-def markdown(tree: DataFrame) -> DataFrame:
-    return tree.select("doc_id", "ord", F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "), F.col("title")).alias("heading"))
+def markdown(documents: DataFrame, pages: DataFrame, tree: DataFrame) -> DataFrame:
+    """``doc_id, markdown``: the whole text, headings as ``#`` lines by level and a comment where each page starts.
+
+    ``documents`` hold ``doc_id, text``, ``pages`` ``doc_id, page_no, char_start``, ``tree`` ``doc_id, level, title, start, title_end``
+    (offsets in characters).  Pieces between the marks are cut by column functions; a document's text is one row."""
+    page = pages.select("doc_id", F.col("char_start").alias("at"), F.lit(0).alias("rank"), F.col("char_start").alias("goes_on"), F.concat(F.lit("<!-- page "), "page_no", F.lit(" -->")).alias("mark"))
+    head = F.concat(F.repeat(F.lit("#"), F.least(F.col("level"), F.lit(6))), F.lit(" "), F.col("title"))
+    marks = page.unionByName(tree.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("rank"), F.col("title_end").alias("goes_on"), head.alias("mark")))
+    gathered = marks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "rank", "goes_on", "mark"))).alias("marks"))
+    joined = documents.select("doc_id", "text").join(gathered, "doc_id", "left")
+    cut = lambda a, b: F.substring("text", a + 1, F.greatest(b - a, F.lit(0)))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda s, m: F.struct(
+        F.concat(s["out"], F.when(m["at"] > s["at"], cut(s["at"], m["at"])).otherwise(""), F.lit("\n\n"), m["mark"], F.lit("\n\n")).alias("out"),
+        F.greatest(s["at"], m["at"], m["goes_on"]).cast("int").alias("at"),
+    )
+    whole = F.aggregate(F.coalesce("marks", F.array().cast("array<struct<at:int,rank:int,goes_on:int,mark:string>>")), start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.lit(2**30))))
+    neat = F.regexp_replace(F.regexp_replace(whole, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return joined.select("doc_id", F.concat(F.regexp_replace(neat, r"^\s+|\s+$", ""), F.lit("\n")).alias("markdown"))
+
+
+def section_pages(tree: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sections ``doc_id, ord, start, end`` with ``page_start`` and ``page_end``: the pages that their spans touch."""
+    t, p = tree.alias("t"), pages.select("doc_id", "page_no", F.col("char_start").alias("ps"), F.col("char_end").alias("pe")).alias("p")
+    met = t.join(p, (F.col("t.doc_id") == F.col("p.doc_id")) & (F.col("p.pe") > F.col("t.start")) & (F.col("p.ps") < F.col("t.end")))
+    ends = met.groupBy(F.col("t.doc_id").alias("doc_id"), F.col("t.ord").alias("ord")).agg(F.min("p.page_no").alias("page_start"), F.max("p.page_no").alias("page_end"))
+    return tree.join(ends, ["doc_id", "ord"], "left")
+
+
+def assemble_pages(items: DataFrame) -> DataFrame:
+    """Pages from the items ``doc_id, page_no, item_no, text, ends_line`` of a parser: ``doc_id, page_no, text, char_start, char_end``,
+    texts joined in order with a line break where an item ends a line, pages joined by a blank line, offsets in UTF-16 units."""
+    piece = F.concat("text", F.when(F.col("ends_line"), F.lit("\n")).otherwise(""))
+    rows = items.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("item_no", piece.alias("t")))).alias("i"))
+    from .cleaning import assemble
+
+    pages = rows.select("doc_id", "page_no", F.array_join(F.transform("i", lambda x: x["t"]), "").alias("text"))
+    return pages.join(assemble(pages), ["doc_id", "page_no"])
+
+
+def title_of(title, path):
+    """A document's title, or the name of its file without folder and ending where it has none."""
+    stem = F.regexp_replace(F.element_at(F.split(path, r"[/\\\\]"), -1), r"\.[^.]*$", "")
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), stem)

@@ -577,4 +577,4 @@ def page_offsets(spark, d):
     return sized.select("doc_id", "page_no", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("page_start"))
 
 
-from . import catalog_text  # noqa: E402, F401  (registers the text operators' queries)
+from . import catalog_more, catalog_text  # noqa: E402, F401  (register the queries of the other operators)
