@@ -52,7 +52,8 @@ def retry_after_ms(header, now):
     seconds = F.when(F.rlike(header, F.lit(r"^\s*[0-9]+\s*$")), F.trim(header).cast("double") * 1000)
     date = F.try_to_timestamp(F.regexp_replace(F.trim(header), r"^[A-Za-z]{3},\s*|\s*GMT$", ""), F.lit("d MMM yyyy HH:mm:ss"))
     wait = (F.unix_millis(date) - F.unix_millis(now)).cast("double")
-    return F.least(F.coalesce(seconds, F.when(wait > 0, wait)), F.lit(float(day))).cast("bigint")
+    asked = F.coalesce(seconds, F.when(wait > 0, wait))
+    return F.when(asked.isNotNull(), F.least(asked, F.lit(float(day)))).cast("bigint")
 
 
 def retry_delay(attempt: int, base_ms: int, most_ms: int, retries: int, chance: float, after_ms: int | None = None) -> int | None:
