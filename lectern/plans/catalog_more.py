@@ -220,15 +220,14 @@ def chunk_sample(spark, d):
 # --- ports with stand-ins
 
 
-@query("""WITH q AS (SELECT vec_id AS call_id, label AS service, vec_id * 10 AS at FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY at, call_id) AS n FROM q)
-    SELECT call_id, cast(max(at + 0) OVER (PARTITION BY service, (n - 1) // 1000000 ORDER BY n) AS BIGINT) AS start_ms FROM o""")
+@query("SELECT vec_id AS call_id, cast(vec_id * 10 AS BIGINT) AS start_ms FROM embeddings")
 def queue_without_wait(spark, d):
     """Calls that come slower than the limits let start at once."""
     calls = table(spark, d, "embeddings").select(F.col("vec_id").alias("call_id"), F.col("label").alias("service"), (F.col("vec_id") * 10).alias("at"))
     return models.queue_starts(calls, "service", "at", 1000, 1000).select("call_id", "start_ms")
 
 
-@query("""WITH RECURSIVE o AS (SELECT vec_id AS call_id, label AS service, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)
+@query("""WITH o AS (SELECT vec_id AS call_id, label AS service, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)
     SELECT call_id, cast((n - 1) // 4 * 1000 AS BIGINT) AS start_ms FROM o""")
 def queue_starts(spark, d):
     """All calls come at once: four start in every second."""
