@@ -8,7 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import functions as F
 
-#: How a text is parted before merging, where the vocabulary's own rule is not given.
+#: How a text is parted before merging, where the vocabulary's own rule is not given (a public, fixed pattern).
 PARTS = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 
 
