@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import filters, tokenizers
 from lectern.functions import text as X
 from lectern.operators import chunking, cleaning, edits, evaluation, models, promotion, query_text, reading, reports, structure
+from lectern.plans.catalog_more import flat_edits
 from lectern.sources import stores
 
 
@@ -32,6 +33,35 @@ def test_edits_of_pages_and_items(spark):
     assert [(r.item_no, r.text, r.start, r.end, r.font) for r in left.orderBy("item_no").collect()] == [(0, "ab", 0, 2, "F"), (1, "𝑞 ef", 5, 10, "F")]
 
 
+def test_edits_of_a_function_stay_with_their_pages(spark):
+    texts = {("d", 1): "a  b\n𝑞 \n c", ("d", 2): "", ("d", 3): " x ", ("e", 1): "one", ("e", 2): None}
+    pages = spark.createDataFrame([(*k, t) for k, t in texts.items()], "doc_id string, page_no int, text string")
+    own = [(*k, a, z, by) for k, t in texts.items() for a, z, by in flat_edits(chunking.as_units(t or ""))]
+    table = spark.createDataFrame(own, "doc_id string, page_no int, start int, end int, replacement string")
+    by_function, by_table = (edits.apply_edits(pages, e)[0] for e in (flat_edits, table))
+    plan = by_function._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Generate" not in plan
+    assert sorted(by_function.collect()) == sorted(by_table.collect()) == [("d", 1, "a b 𝑞 c", 0, 8), ("d", 2, "", 10, 10), ("d", 3, " x ", 12, 15), ("e", 1, "one", 0, 3), ("e", 2, "", 5, 5)]
+
+
+def test_a_batch_of_many_edits_is_held_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, each = 4000, 200
+    own = pa.StructArray.from_arrays([pa.array(list(range(0, 2 * each, 2)) * n, pa.int32()), pa.array(list(range(1, 2 * each, 2)) * n, pa.int32()), pa.array(["-"] * each * n)], ["start", "end", "replacement"])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(["d"] * n), "page_no": pa.array(range(n), pa.int32()), "text": pa.array([" x" * each] * n), "edits": pa.ListArray.from_arrays(pa.array(range(0, each * n + 1, each), pa.int32()), own)})
+    tracemalloc.start()
+    rows = 0
+    for b in edits.edited_batches(iter([batch])):
+        rows += b.num_rows
+        assert set(b["text"].to_pylist()) == {"-x" * each}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 40e6  # the edits of the whole batch as objects are over 100 MB
+
+
 def test_gold_is_resolved_within_its_document(spark):
     pages = spark.createDataFrame([("a", 1, "One two\n three. 𝑞 Four (five)", 0), ("b", 1, "One two three. One  two", 0)], "doc_id string, page_no int, text string, char_start int")
     gold = [("a", "x", 0, 1, "two three"), ("a", "x", 1, 1, "Four (five)"), ("b", "y", 0, 1, "One two"), ("b", "y", 1, 2, "One"), ("a", "z", 0, 1, "absent"), ("a", "z", 1, 1, " ")]
