@@ -91,6 +91,16 @@ def test_ratings_become_questions(spark):
     assert one(spark, promotion.next_version(F.lit("v9"))) == "v10" and one(spark, promotion.next_version(F.lit("v1-smoke"))) is None
 
 
+def test_question_ids_go_on_beyond_three_digits(spark):
+    gold = "array<struct<gold_ix:int,page_no:int,quote:string>>"
+    done = spark.createDataFrame([(f"a{i:02}", i, f"Question {i}?", "add", "declined", "", None) for i in range(1, 5)], f"answer_id string, line_no bigint, question string, outcome string, reason string, answer string, gold {gold}")
+    known = spark.createDataFrame([("q997", "known", "factual", "x", []), ("q001-b", "other", "factual", "x", [])], "qid string, question string, kind string, answer string, gold array<struct<page:int,quote:string>>")
+    rows = [(r.qid, r.question) for r in promotion.promote(done, known).orderBy(F.length("qid"), "qid").collect()]
+    assert rows == [("q997", "known"), ("q998", "Question 1?"), ("q999", "Question 2?"), ("q1000", "Question 3?"), ("q1001", "Question 4?"), ("q001-b", "other")]
+    with pytest.raises(Exception, match="question ids stop at q999"):
+        promotion.promote(done, known, last_id=999).collect()
+
+
 def test_outline_keys_and_trails(spark):
     tree = spark.createDataFrame([("d", 0, None, 1, "One", 1, 3), ("d", 1, 0, 2, "One A", 1, 2), ("d", 2, 0, 2, "One B", 2, 3), ("d", 3, None, 1, "Two", 3, 4)], "doc_id string, ord int, parent_ord int, level int, title string, page_start int, page_end int")
     assert {r.title: r.key for r in reading.outline_keys(tree).collect()} == {"One": "0", "One A": "0.0", "One B": "0.1", "Two": "1"}
